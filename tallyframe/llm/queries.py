@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import Rule, linked
+
+    return linked(_read(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
 def op3_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
