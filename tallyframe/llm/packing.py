@@ -7,7 +7,9 @@ long sequence; the second pass cuts that at fixed windows and records each piece
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -17,22 +19,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Chunks
 from .common import Scratch, slices
 
-#: How byte-level vocabularies spell a leading space.
-SPACE = "\u0120"
+#: The split of byte-level vocabularies (a fixed value of their format).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a ``tokenizers`` file as ranks by bytes, if its ids follow from these ranks alone.
+
+    That is so for a plain byte-level BPE whose merges are numbered by rank, with the usual split.
+    """
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not spec.get("normalizer")
+        and split.get("type") == "ByteLevel"
+        and not split.get("add_prefix_space")
+        and split.get("use_regex", True)
+        and (spec.get("post_processor") or split).get("type") == "ByteLevel"
+        and not any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        return None
+    # Byte-level files spell printable Latin-1 bytes as themselves and number the others from 256 on.
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spelt = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+    special = {t["content"] for t in spec.get("added_tokens") or ()}
+    ranks = {bytes(spelt[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    return ranks if made == list(range(256, 256 + len(made))) and len(ranks) == 256 + len(made) else None
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Chunks:
-    """Ids of a text by a byte-level ``tokenizers`` file, no special tokens added; a Python worker keeps it."""
+def tokenizer(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by a ``tokenizers`` file, no special tokens added; a Python worker keeps it.
+
+    A plain byte-level file is run by the faster tiktoken library over the file's own vocabulary; the ids are the
+    same (the tests compare the two libraries), and so are special tokens spelt out in a text.
+    """
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
-    return Chunks(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)], [b" " if n[:1] == SPACE else b"" for n in names])
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if ranks := byte_ranks(spec):
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+        fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: fast.encode(text, allowed_special="all")
+    slow = Tokenizer.from_file(path)
+    return lambda text: slow.encode(text, add_special_tokens=False).ids
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -40,15 +79,12 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, part, place = tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch):
                 out = [[], [], rows.column(0), [], []]
                 for text in rows.column(1).to_pylist():
-                    ids = np.array([*encode(text), end], np.uint32)
+                    ids = np.array([*encode(text or ""), end], np.uint32)
                     out[0].append(part)
                     out[1].append(place)
                     out[3].append(len(ids))
