@@ -149,3 +149,18 @@ def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("m").to_numpy()
     return out
+
+
+def marked(df: DataFrame, key: Column, ids: DataFrame, most_bits: int = 24) -> DataFrame:
+    """``df`` with a boolean ``may``: true for every key among ``ids`` (column doc_id) and for few others.
+
+    The ids become a bitmap of at most 2**most_bits bits, in words of 64; those at most 2**most_bits / 64
+    rows are what is broadcast. With more ids than that more keys are marked, never fewer.
+    """
+    bits = min(most_bits, max(10, (16 * ids.count()).bit_length()))
+    mask = F.lit((1 << bits) - 1)
+    at = F.xxhash64("doc_id").bitwiseAND(mask)
+    words = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("may_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("may_m"))
+    own = df.withColumn("may_b", F.xxhash64(key).bitwiseAND(mask))
+    hit = F.expr("coalesce(shiftrightunsigned(may_m, cast(may_b & 63 as int)) & 1, 0) = 1")
+    return own.join(F.broadcast(words), F.shiftright("may_b", 6) == F.col("may_w"), "left").withColumn("may", hit).drop("may_b", "may_w", "may_m")

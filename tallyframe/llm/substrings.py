@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, slices, word_bytes
+from .common import Scratch, WordHash, marked, slices, word_bytes
 
 BASE = 0x9E3779B97F4A7C15
 #: The rows of a count-min sketch hash by these odd factors.
@@ -240,7 +240,8 @@ def deduplicate(docs: DataFrame, size: int = 50, gram: int = 10, most_bits: int
     groups = runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.first("windows").alias("windows"))
     several = groups.groupBy("anchor").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("anchor")
     # Different runs with one anchor: window by window, against the smallest document that has it.
-    each = groups.join(several, "anchor", "left_semi").select("anchor", "run", "least", F.posexplode("windows").alias("k", "window"))
+    # Dealt out by window once, for the smallest document of each and for the join with it.
+    each = groups.join(several, "anchor", "left_semi").select("anchor", "run", "least", F.posexplode("windows").alias("k", "window")).repartition("anchor", "window")
     first = each.groupBy("anchor", "window").agg(F.min("least").alias("first"))
     part = (
         each.join(first, ["anchor", "window"])
@@ -258,8 +259,14 @@ def deduplicate(docs: DataFrame, size: int = 50, gram: int = 10, most_bits: int
         .agg(F.collect_list(F.struct("start", "mask", "n")).alias("ranges"))
         .select("doc_id", "t", F.col("ranges.start").alias("start"), F.col("ranges.mask").alias("mask"), F.col("ranges.n").alias("n"))
     )
+    ranges = scratch.table(ranges)
+    scratch.drop(runs)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # apart, so that no column's name clashes
-    hits = docs.select("doc_id", F.xxhash64("text").alias("t"), row.alias("row")).join(ranges, ["doc_id", "t"], "left")
+    apart = marked(docs.select(row.alias("row")), F.col("row.doc_id"), ranges.select("doc_id"))
+    # Only documents that may lose words travel to their ranges.
+    some = apart.where("may").select(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("t"), "row").join(ranges, ["doc_id", "t"], "left").select("start", "mask", "n", "row")
+    none = apart.where("not may").select(*(F.lit(None).cast(t).alias(c) for c, t in ranges.select("start", "mask", "n").dtypes), "row")
+    hits = some.unionAll(none)
     fields = [F.col(f"row.`{c}`") for c in docs.columns]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_words long, n_removed long, kept string"
     plain = hits.select("start", "mask", "n", *fields).toDF("start", "mask", "n", *(f"c{i}" for i in range(len(fields))))
