@@ -102,13 +102,16 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, tuple[str, str]]:
-    """By name, when a rule votes bad and when it votes good (SQL over the measures); else it abstains."""
+    """By name, when a rule votes bad and when it votes good (SQL over the measures); else it abstains.
+
+    Each kind of junk is looked at by two rules or more, so that their agreement tells how far each is right.
+    """
     return {
-        "length": ("n_words < 50", "n_words >= 100"),
         "word_length": ("word_chars < 2.5 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
         "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
+        "symbol_chars": ("n_symbols > 0.015 * word_chars", "n_symbols <= 0.004 * word_chars"),
         "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
-        "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.1 * n_words"),
+        "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.15 * n_words"),
         "variety": ("n_distinct < 0.25 * n_words and n_words < 2000", "n_distinct >= 0.35 * n_words"),
         "capitals": ("n_capitals > 0.3 * n_letters", "n_capitals <= 0.15 * n_letters"),
     }
@@ -161,7 +164,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     scratch, of = Scratch(docs.sparkSession), rules()
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     counted = scratch.table(measures(docs).withColumn("base_failed", base).withColumn("votes", votes(of)))
-    patterns = {tuple(r["votes"]): r["count"] for r in counted.groupBy("votes").count().collect()}
+    # What fails already is no evidence on the rules' verdicts about the rest.
+    patterns = {tuple(r["votes"]): r["count"] for r in counted.where(~F.col("base_failed")).groupBy("votes").count().collect()}
     prior, ratios = estimate(patterns)
     z = F.lit(float(prior))
     for i, r in enumerate(ratios):
