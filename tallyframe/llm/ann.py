@@ -75,27 +75,22 @@ def _kmeans(x: np.ndarray, size: int, rounds: int, rng: np.random.Generator) ->
     return centres.astype(np.float32)
 
 
-def train(x: np.ndarray, number: int = 8, size: int = 256, beam: int = 8, rounds: int = 8, refits: int = 1, seed: int = 7) -> Codebooks:
-    """Codebooks from k-means on residuals, then refitted together by least squares for the codes found."""
+def train(x: np.ndarray, number: int = 8, size: int = 256, beam: int = 8, rounds: int = 6, refits: int = 1, seed: int = 7) -> Codebooks:
+    """Codebooks from k-means on residuals, then refitted one after the other for the codes found."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     rest, books = x.copy(), []
     for _ in range(number):
         books.append(_kmeans(rest, size, rounds, rng))
         rest -= books[-1][((books[-1] ** 2).sum(1) - 2 * (rest @ books[-1].T)).argmin(1)]
     out = Codebooks(np.stack(books), beam)
-    for _ in range(refits):
+    for _ in range(refits):  # each codeword becomes the mean of what the other codebooks leave of its vectors
         codes, _ = out.encode(x)
-        at = codes + np.arange(number) * size
-        gram, side = np.zeros((number * size, number * size), np.float32), np.zeros((number * size, x.shape[1]), np.float32)
-        for i in range(number):
-            np.add.at(side, at[:, i], x)
-            for j in range(number):
-                np.add.at(gram, (at[:, i], at[:, j]), 1)
-        # A little weight holds each codeword where it is, so that unused ones stay.
-        weight = 1.0
-        old = out.books.reshape(-1, x.shape[1])
-        gram[np.diag_indices(len(gram))] += weight
-        out = Codebooks(np.linalg.solve(gram, side + weight * old).astype(np.float32).reshape(out.books.shape), beam)
+        rest = x - out.decode(codes)
+        for book, code in zip(out.books, codes.T, strict=True):
+            part, count = rest + book[code], np.bincount(code, minlength=size)
+            order, used = np.argsort(code, kind="stable"), np.flatnonzero(count)
+            book[used] = np.add.reduceat(part[order], (np.cumsum(count) - count)[used], axis=0) / count[used, None]
+            rest = part - book[code]
     return out
 
 
