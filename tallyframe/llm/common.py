@@ -115,22 +115,58 @@ def word_bytes(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").split()
 
 
-class WordHash:
-    """64-bit hashes of words, remembered for up to ``most`` distinct words."""
-
-    def __init__(self, most: int = 400_000, seed: int = 0):
-        import xxhash
-
-        self.seen: dict[bytes, int] = {}
-        self.most, self.seed, self.hash = most, seed, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen, h, seed = self.seen, self.hash, self.seed
-        if len(seen) > self.most:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = h(w, seed)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(_BYTE, -32), _BYTE)
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            one = np.ones(1, np.uint64)
+            self.up = np.concatenate((one, np.cumprod(np.full(2 * n, BASE, np.uint64))))
+            self.down = np.concatenate((one, np.cumprod(np.full(2 * n, pow(BASE, -1, 1 << 64), np.uint64))))
+        return self.up, self.down
+
+
+def word_hashes(column: pa.Array, powers: Powers, lower: bool = False, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a column of texts, and how many each text has; with ``lower``, A-Z count as a-z.
+
+    The column's bytes are worked on as one array, about ``block`` of them at a time; a null text has no words.
+    """
+    if column.null_count:
+        column = column.fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
+    ends = ends - (ends[0] if len(ends) else 0)
+    space = np.concatenate(([True], _SPACE[data], [True]))
+    fresh = np.zeros(len(data) + 1, bool)  # a text starts here
+    fresh[ends[ends < len(data)]] = True
+    starts = np.flatnonzero(~space[1:-1] & (space[:-2] | fresh[:-1]))
+    stops = np.flatnonzero(~space[1:-1] & (space[2:] | fresh[1:])) + 1
+    table, out, at = _LOWER if lower else _BYTE, np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(stops, starts[at] + block)))
+        first, last = starts[at], stops[upto - 1]
+        up, down = powers.to(last - first)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data[first:last]] * up[: last - first])))
+        s = starts[at:upto] - first
+        out[at:upto] = (sums[stops[at:upto] - first] - sums[s]) * down[s]
+        at = upto
+    return mixed(out), np.diff(np.searchsorted(starts, ends))
 
 
 def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, bitmap, slices, word_bytes
+from .common import BASE, Powers, Scratch, bitmap, mixed, slices, word_hashes
 from .graphs import components
-from .substrings import BASE, mixed
 
 #: 64-bit words of a parity bitmap.
 PARITY = 8
@@ -51,46 +50,49 @@ class Rule:
         return max(1, int(n * (1 - self.num / self.den) / 6))
 
 
-def shingle_sets(texts: list[str | None], words: int, hashes: WordHash) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int, powers: Powers) -> list[np.ndarray]:
     """The sorted different shingles of each text as 64-bit hashes; A-Z are lower-cased.
 
     A text of fewer words is one shingle as a whole; one without words is empty.
     """
-    own = [word_bytes(t.translate(LOWER) if t else t) for t in texts]
-    h = hashes([w for x in own for w in x])
-    out, at = [], 0
-    for x in own:
-        n, part = len(x), h[at : at + len(x)]
-        at += n
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        size = min(words, n)
-        s = np.full(n - size + 1, size, np.uint64)
+    h, counts = word_hashes(texts, powers, lower=True)
+    ends = np.cumsum(counts)
+
+    def strung(part: np.ndarray, size: int) -> np.ndarray:
+        s = np.full(max(0, len(part) - size + 1), size, np.uint64)
         for j in range(size):
-            s = s * np.uint64(BASE) + part[j : n - size + 1 + j]
-        out.append(np.unique(mixed(s)))
+            s = s * np.uint64(BASE) + part[j : len(s) + j]
+        return mixed(s)
+
+    whole, out = strung(h, words), []
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        if n >= words:
+            s = np.sort(whole[end - n : end - words + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        else:
+            out.append(strung(h[end - n : end], n) if n else np.zeros(0, np.uint64))
     return out
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def parity(tokens: np.ndarray) -> np.ndarray:
     """A bitmap in which each token flips a bit: two of them differ in no more bits than their sets in tokens."""
     odd = (np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> list[tuple[int, int, int]]:
-    """(signature, place of its first token, tokens that may be shared before it) of a set; ``frequent`` marks its tokens."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set, the place of each one's first token, and how many tokens may be shared unseen before it.
+
+    ``frequent`` marks the set's tokens.
+    """
     n = len(tokens)
     need = rule.slack(n) + 1
     rare, common = tokens[~frequent], tokens[frequent]
-    out = [(t, i, 0) for i, t in enumerate(rare[:need].view(np.int64).tolist())]
+    alone = rare[:need].view(np.int64)
     if len(rare) >= need:
-        return out
+        return alone, np.arange(need), np.zeros(need, np.int64)
     # The place of a pair is that of its first token; before it each other group may share one token.
+    sig, pos, spare = [], [], []
     for level in (rule.level(n), rule.level(n) + 1):
         groups, left = rule.groups(level), need - len(rare)
         held: dict[int, list[tuple[int, int]]] = {}
@@ -104,8 +106,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> list[tup
         for g in held.values():
             for (t, i), (u, _) in combinations(g, 2):
                 key = (t * 0x9E3779B97F4A7C15 ^ u * 0xD6E8FEB86659FD93 ^ level * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF
-                out.append((key - (key >> 63 << 64), i, groups - 1))
-    return out
+                sig.append(key - (key >> 63 << 64))
+                pos.append(i)
+                spare.append(groups - 1)
+    return np.concatenate((alone, np.array(sig, np.int64))), np.concatenate((np.arange(len(alone)), np.array(pos, np.int64))), np.concatenate((np.zeros(len(alone), np.int64), np.array(spare, np.int64)))
 
 
 class Join:
@@ -132,10 +136,10 @@ class Join:
         rule = self.rule
 
         def run(batches):
-            hashes = WordHash()
+            powers = Powers()
             for batch in batches:
-                for rows in slices(batch):
-                    sets = shingle_sets(rows.column(1).to_pylist(), rule.words, hashes)
+                for rows in slices(batch, 2 << 20):
+                    sets = shingle_sets(rows.column(1), rule.words, powers)
                     heads = [s[: (rule.slack(len(s)) + 1) * 3 // 2 + 8].tobytes() for s in sets]
                     prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                     yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "head": pa.array(heads, pa.binary())})
@@ -181,26 +185,31 @@ class Join:
             return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
         def run(batches):
-            hashes = WordHash()
+            powers = Powers()
             often, node = shared.value
             for batch in batches:
-                for rows in slices(batch):
+                for rows in slices(batch, 2 << 20):
                     h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << id_bits) - 1)
                     rows = rows.filter(pa.array(has(node, h)))
-                    out = [[], [], [], [], [], []]
-                    sets = shingle_sets(rows.column(2).to_pylist(), rule.words, hashes)
-                    for doc, s in zip(rows.column(0).to_pylist(), sets, strict=True):
-                        if not len(s):
-                            continue
-                        found = signatures(s, has(often, s >> np.uint64(64 - bits)), rule)
-                        sig, pos, spare = zip(*found, strict=True) if found else ((), (), ())
-                        out[0] += [*sig, None]
-                        out[1] += [doc] * (len(sig) + 1)
-                        out[2] += [len(s)] * (len(sig) + 1)
-                        out[3] += [*pos, 0]
-                        out[4] += [*spare, 0]
-                        out[5] += [None] * len(sig) + [parity(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                    sets = shingle_sets(rows.column(2), rule.words, powers)
+                    full = [(i, s) for i, s in enumerate(sets) if len(s)]
+                    if not full:
+                        continue
+                    marks = has(often, np.concatenate([s for _, s in full]) >> np.uint64(64 - bits))
+                    found, at = [], 0
+                    for _, s in full:
+                        found.append(signatures(s, marks[at : at + len(s)], rule))
+                        at += len(s)
+                    count = np.array([len(f[0]) for f in found])
+                    doc, size = (np.array([x(i, s) for i, s in full]) for x in (lambda i, s: i, lambda i, s: len(s)))
+                    row, n = (pa.array(np.repeat(v, count)) for v in (doc, size.astype(np.int32)))
+                    sig, pos, spare = (np.concatenate([f[k] for f in found]) for k in range(3))
+                    nothing = pa.nulls(len(sig), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), rows.column(0).take(row), n, pa.array(pos.astype(np.int32)), pa.array(spare.astype(np.int32)), nothing], schema=schema)
+                    flat = pa.array(np.concatenate([parity(s) for _, s in full]))
+                    own = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * PARITY), flat)
+                    zero = pa.array(np.zeros(len(full), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), rows.column(0).take(pa.array(doc)), pa.array(size.astype(np.int32)), zero, zero, own], schema=schema)
 
         return self.keyed.mapInArrow(run, "sig long, doc_id long, n int, pos int, spare int, bits array<long>")
 
@@ -253,13 +262,13 @@ class Join:
         shared = self.spark.sparkContext.broadcast(bitmap(ends, "doc_id", bits).view(np.uint64))
 
         def sets(batches):
-            hashes = WordHash()
+            powers = Powers()
             for batch in batches:
-                for rows in slices(batch):
+                for rows in slices(batch, 2 << 20):
                     h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
                     wanted = shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
                     rows = rows.filter(pa.array(wanted.astype(bool)))
-                    found = shingle_sets(rows.column(2).to_pylist(), rule.words, hashes)
+                    found = shingle_sets(rows.column(2), rule.words, powers)
                     yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
 
         def compare(batches):
@@ -276,7 +285,7 @@ class Join:
                 rows = batch.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:2], *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
 
-        whole = self.keyed.mapInArrow(sets, "doc_id long, tokens binary")
+        whole = self.scratch.table(self.keyed.mapInArrow(sets, "doc_id long, tokens binary"))
         left = pairs.join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "s"}), "a")
         both = left.join(whole.withColumnsRenamed({"doc_id": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
         return both.mapInArrow(compare, "a long, b long, n_a long, n_b long, common long")

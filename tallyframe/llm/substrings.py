@@ -14,33 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, marked, slices, word_bytes
+from .common import BASE, Powers, Scratch, marked, mixed, slices, word_bytes, word_hashes
 
-BASE = 0x9E3779B97F4A7C15
 #: The rows of a count-min sketch hash by these odd factors.
 FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = 2 * n
-            self.up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, BASE, np.uint64))))
-            self.down = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))))
-        return self.up, self.down
-
-
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The minimum of every n neighbours, by doubling."""
     have = 1
@@ -53,12 +32,10 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 class Windows:
     """The windows of some documents strung together; those that span two documents are left out."""
 
-    def __init__(self, hashes: WordHash, powers: Powers, texts: list[str | None], size: int, gram: int):
-        words = [word_bytes(t) for t in texts]
-        self.counts = np.array([len(w) for w in words])
-        h = hashes([x for w in words for x in w])
+    def __init__(self, powers: Powers, texts: pa.Array, size: int, gram: int):
+        h, counts = word_hashes(texts, powers)
         n = len(h)
-        doc = np.repeat(np.arange(len(words)), self.counts)
+        doc = np.repeat(np.arange(len(counts)), counts)
         if n < size:
             self.at = self.doc = self.anchor = np.zeros(0, np.int64)
             return
@@ -69,7 +46,7 @@ class Windows:
         self.at = np.flatnonzero(inside)
         self.doc = doc[self.at]
         self.anchor = sliding_min(mixed(grams), size - gram + 1)[self.at]
-        self.first = (np.cumsum(self.counts) - self.counts)[self.doc]  # where the window's document starts
+        self.first = (np.cumsum(counts) - counts)[self.doc]  # where the window's document starts
         self.size, (up, self.down) = size, powers.to(n + 1)
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up[:n])))
 
@@ -97,10 +74,10 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """The different anchors of each document, as 64-bit numbers in a binary column."""
 
     def run(batches):
-        hashes, powers = WordHash(), Powers()
+        powers = Powers()
         for batch in batches:
-            for rows in slices(batch):
-                w = Windows(hashes, powers, rows.column(1).to_pylist(), size, gram)
+            for rows in slices(batch, 2 << 20):
+                w = Windows(powers, rows.column(1), size, gram)
                 begin, _ = w.runs(1 << 60)
                 each = np.split(w.anchor[begin], np.cumsum(np.bincount(w.doc[begin], minlength=rows.num_rows))[:-1]) if rows.num_rows else []
                 each = [np.unique(a) for a in each if len(a)]
@@ -161,10 +138,10 @@ def _runs(docs: DataFrame, size: int, gram: int, sketch: np.ndarray, bits: int)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        hashes, powers = WordHash(), Powers()
+        powers = Powers()
         for batch in batches:
-            for rows in slices(batch):
-                w = Windows(hashes, powers, rows.column(2).to_pylist(), size, gram)
+            for rows in slices(batch, 2 << 20):
+                w = Windows(powers, rows.column(2), size, gram)
                 if not len(w.at):
                     continue
                 begin, n = w.runs(RUN)
