@@ -94,6 +94,19 @@ def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[list, lis
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, columns: list[str], test: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``test`` of the named columns is true."""
+    names, at = df.columns, [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                some = pa.RecordBatch.from_arrays([rows.column(i) for i in at], names=columns)
+                yield rows.filter(pa.array(test(some)))
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes))).toDF(*names)
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most about ``most`` bytes, one row at least."""
     if batch.num_rows == 0:

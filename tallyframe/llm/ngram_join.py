@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Powers, Scratch, bitmap, mixed, slices, word_hashes
+from .common import BASE, Powers, Scratch, bitmap, marked, mixed, slices, word_hashes
 from .graphs import components
 
 #: 64-bit words of a parity bitmap.
@@ -121,10 +121,22 @@ class Join:
         self.scratch = Scratch(self.spark)
         self.docs = docs.select("doc_id", "text")
         self.keyed = self.docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-        self.sets = self.scratch.table(self._sets())
-        groups = self.sets.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"))
-        self.nodes = self.scratch.table(groups)
-        self.signed = self.scratch.table(self._signed())
+        # Tables go as soon as smaller ones hold what is still needed of them.
+        sets = self.scratch.table(self._sets())
+        groups = sets.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"))
+        nodes = self.scratch.table(groups)
+        self.sets, self.nodes = self.scratch.table(sets.drop("head")), self.scratch.table(nodes.drop("head", "n"))
+        self.scratch.drop(sets)
+        signed = self.scratch.table(self._signed(nodes))
+        self.scratch.drop(nodes)
+        bits = (F.col("bits")[i].alias(f"b{i}") for i in range(PARITY))
+        #: doc_id, n, b0, b1 ...: one row for each node.
+        self.parities = self.scratch.table(signed.where("sig is null").select("doc_id", "n", *bits).distinct())
+        rows = signed.where("sig is not null").drop("bits")
+        hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
+        #: sig, doc_id, n, pos, spare and hub (the smallest node with it) for signatures of several nodes.
+        self.rows = self.scratch.table(rows.join(hubs, "sig"))
+        self.scratch.drop(signed)
 
     def _bits(self, count: int) -> int:
         return min(self.most_bits, max(10, count.bit_length()))
@@ -146,7 +158,7 @@ class Join:
 
         return self.docs.mapInArrow(run, "doc_id long, n long, print binary, head binary")
 
-    def _frequent(self) -> tuple[np.ndarray, int]:
+    def _frequent(self, nodes: DataFrame) -> tuple[np.ndarray, int]:
         """A bitmap of hashed tokens that are among the first of more than ``often`` nodes.
 
         A token that only shares its bit counts as frequent too. The bitmap grows with the tokens up to 2**most_bits bits.
@@ -159,8 +171,8 @@ class Join:
                     once, n = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"token": pa.array(once), "n": pa.array(n)})
 
-        counts = self.nodes.select("head").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.often)
-        size = self.nodes.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
+        counts = nodes.select("head").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.often)
+        size = nodes.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
         bits = self._bits(size)
         at = F.shiftrightunsigned("token", 64 - bits)
         words = counts.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(token, %d) & 63 as int))" % (64 - bits))).alias("m")).toArrow()
@@ -168,16 +180,16 @@ class Join:
         out[words.column("w").to_numpy()] = words.column("m").to_numpy()
         return out, bits
 
-    def _signed(self) -> DataFrame:
+    def _signed(self, nodes: DataFrame) -> DataFrame:
         """Signature rows of the nodes, and a row with sig null for each node that carries its parity bitmap.
 
         The nodes are found among the documents by a bitmap of their ids, so some further copies of
         nodes may get rows too; each of those links with its node like any equal set.
         """
-        frequent, bits = self._frequent()
-        count = self.nodes.count()
+        frequent, bits = self._frequent(nodes)
+        count = nodes.count()
         id_bits = self._bits(16 * count)
-        ids = bitmap(self.nodes, "doc_id", id_bits)
+        ids = bitmap(nodes, "doc_id", id_bits)
         shared, rule = self.spark.sparkContext.broadcast((frequent.view(np.uint64), ids.view(np.uint64))), self.rule
         schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("spare", pa.int32()), ("bits", pa.list_(pa.int64()))])
 
@@ -225,31 +237,21 @@ class Join:
         num, den = self.rule.num, self.rule.den
         return f"{den + num} * (least({a}.n - {a}.pos, {b}.n - {b}.pos) + greatest({a}.spare, {b}.spare)) >= {num} * ({a}.n + {b}.n)"
 
-    def parities(self) -> DataFrame:
-        """doc_id, n, b0, b1 ...: one row for each node."""
-        return self.signed.where("sig is null").select("doc_id", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(PARITY))).distinct()
-
-    def shared_rows(self) -> DataFrame:
-        """sig, doc_id, n, pos, spare and hub (the smallest node with it) for signatures of several nodes."""
-        rows = self.signed.where("sig is not null").drop("bits")
-        hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
-        return self.scratch.table(rows.join(hubs, "sig"))
-
-    def star_pairs(self, rows: DataFrame) -> DataFrame:
+    def star_pairs(self) -> DataFrame:
         """a, b: nodes with the hubs of their signatures, as far as the bounds allow."""
-        pairs = rows.where("doc_id <> hub").select("doc_id", "hub").distinct()
-        x, y = self.parities().alias("x"), self.parities().alias("y")
+        pairs = self.rows.where("doc_id <> hub").select("doc_id", "hub").distinct()
+        x, y = self.parities.alias("x"), self.parities.alias("y")
         near = pairs.join(x, pairs.doc_id == F.col("x.doc_id")).join(y, (pairs.hub == F.col("y.doc_id")) & F.expr(self._bounds("x", "y")))
         return near.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
 
-    def other_pairs(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def other_pairs(self, labels: DataFrame | None) -> DataFrame:
         """a, b: pairs that share a signature, as far as the bounds allow; with labels only across components."""
-        rows = rows.drop("hub")
+        rows = self.rows.drop("hub")
         if labels is not None:
             rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
             mixed_sigs = rows.groupBy("sig").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("sig")
             rows = rows.join(mixed_sigs, "sig", "left_semi")
-        rows = self.scratch.table(rows.join(self.parities(), ["doc_id", "n"]))
+        rows = self.scratch.table(rows.join(self.parities, ["doc_id", "n"]))
         across = "" if labels is None else " and x.label <> y.label"
         found = rows.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.doc_id < y.doc_id{across} and {self._bounds('x', 'y')} and {self._places('x', 'y')}"))
         return found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
@@ -288,7 +290,9 @@ class Join:
         whole = self.scratch.table(self.keyed.mapInArrow(sets, "doc_id long, tokens binary"))
         left = pairs.join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "s"}), "a")
         both = left.join(whole.withColumnsRenamed({"doc_id": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
-        return both.mapInArrow(compare, "a long, b long, n_a long, n_b long, common long")
+        out = self.scratch.table(both.mapInArrow(compare, "a long, b long, n_a long, n_b long, common long").distinct())
+        self.scratch.drop(whole, pairs)
+        return out
 
 
 def similar_pairs(docs: DataFrame, rule: Rule = Rule(), **options) -> DataFrame:
@@ -298,7 +302,7 @@ def similar_pairs(docs: DataFrame, rule: Rule = Rule(), **options) -> DataFrame:
     grows with the square of a group of near copies; ``linked`` only connects them.
     """
     join = Join(docs, rule, **options)
-    return join.verified(join.other_pairs(join.shared_rows(), None)).distinct()
+    return join.verified(join.other_pairs(None))
 
 
 def linked(docs: DataFrame, rule: Rule = Rule(), **options) -> DataFrame:
@@ -308,12 +312,24 @@ def linked(docs: DataFrame, rule: Rule = Rule(), **options) -> DataFrame:
     component and links with nothing. Rows that repeat an id count as one document with several texts.
     """
     join = Join(docs, rule, **options)
-    rows = join.shared_rows()
-    first = join.scratch.table(join.verified(join.star_pairs(rows)).select("a", "b"))
+    first = join.verified(join.star_pairs()).select("a", "b")
     labels = join.scratch.table(components(first, join.scratch))
-    second = join.verified(join.other_pairs(rows, labels)).select("a", "b")
+    second = join.verified(join.other_pairs(labels)).select("a", "b")
     ends = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), join.scratch)
     named = join.nodes.select("print", F.col("doc_id").alias("node")).join(ends, "node", "left").select("print", F.coalesce("label", "node").alias("label"))
     own = join.sets.select("doc_id", F.col("n").alias("n_shingles"), "print")
     alone = F.expr("n_shingles = 0 or doc_id is null")
     return own.join(named, "print", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+
+
+def one_each(docs: DataFrame, rule: Rule = Rule(), **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that links lead from to a smaller id.
+
+    Rows that repeat an id stay or go together; rows without an id or without words stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.table(linked(docs, rule, **options).where("component_id < doc_id").select("doc_id").distinct())
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # apart, so that no column's name clashes
+    apart = marked(docs.select(row.alias("row")), F.col("row.doc_id"), gone)
+    some = apart.where("may").select(F.col("row.doc_id").alias("doc_id"), "row").join(gone, "doc_id", "left_anti").select("row")
+    return some.unionAll(apart.where("not may").select("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

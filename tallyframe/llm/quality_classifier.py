@@ -9,7 +9,6 @@ combined and score every document.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, keep_rows, slices
 from .toxicity import labelled_sample, logistic
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Of bytes: one class for each punctuation mark and white space, one each for digits, capitals, small letters and the rest.
 CLASS = np.full(256, 3, np.int64)
 CLASS[48:58], CLASS[65:91], CLASS[97:123] = 0, 1, 2
@@ -174,6 +172,12 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, ["text", "source", "lang", "n_chars"], lambda rows: shared.value.score(_views(rows))[:, 0] >= threshold if rows.num_rows else np.zeros(0, bool))
+
+
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit and score: doc_id, held_out, score, predicted (1 if score >= 0.5), content_score, metadata_score."""
     out = score(docs, fit(docs, labels, **options))

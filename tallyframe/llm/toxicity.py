@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_text
+from .common import held_out, keep_rows, map_text
 
 TOKEN = re.compile(r"[^\W\d_]+")
 EULER = 0.5772156649015329
@@ -219,6 +219,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return map_text(docs, "doc_id long, score double, passages array<struct<start:int,end:int,score:double,log_e:double>>", start)
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, ["text"], lambda rows: np.array([shared.value.score(t)[0] < threshold for t in rows.column(0).to_pylist()], bool))
+
+
 def detect(docs: DataFrame, labels: DataFrame, most: int = 8000, level: float = 0.01) -> DataFrame:
     """Fit on the labels and score every document: doc_id, held_out, score, predicted, n_passages, passages."""
     out = score(docs, fit(docs, labels, most, level))
