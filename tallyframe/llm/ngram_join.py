@@ -284,8 +284,8 @@ class Join:
                     if rule.den * common >= rule.num * (len(both) - common):
                         keep.append(i)
                         out.append((len(s), len(t), common))
-                rows = batch.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:2], *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
+                ends = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ends, *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
 
         whole = self.scratch.table(self.keyed.mapInArrow(sets, "doc_id long, tokens binary"))
         left = pairs.join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "s"}), "a")
