@@ -183,7 +183,7 @@ def probabilities(net: Network, texts: list[str | None], width: int = 128, toget
     return out / np.maximum(size, 1)[:, None]
 
 
-def fit(docs: DataFrame, each: int = 400, most_labels: int = 64, longest: int = 20_000) -> Network | None:
+def fit(docs: DataFrame, each: int = 400, most_labels: int = 64, longest: int = 4_000) -> Network | None:
     """Learn from at most ``each`` training documents of each of the ``most_labels`` commonest languages.
 
     The documents are chosen by a hash of the id; of a longer one a stretch of ``longest`` characters is learnt from.
