@@ -27,27 +27,22 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def log_odds(toxic: list[set], clean: list[set], prior: float = 50.0, sure: float = 1.64, least: int = 3, most: int = 50_000) -> dict[str, float]:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float = 50.0, sure: float = 1.64, least: int = 3, most: int = 50_000) -> dict[int, float]:
     """Log-odds of a token's presence between two sets of documents, at the near end of their interval.
 
-    The Dirichlet prior spreads ``prior`` pseudo-documents over the tokens as both sets together
-    do, and ``sure`` standard deviations are taken off the absolute value, so rare tokens stay near
-    zero. Tokens of fewer than ``least`` documents are left out; of the rest the ``most`` with the
-    largest absolute value stay.
+    ``toxic`` and ``clean`` count the documents that hold each token. The Dirichlet prior spreads ``prior``
+    pseudo-documents over the tokens as both sets together do, and ``sure`` standard deviations are taken off the absolute
+    value, so rare tokens stay near zero. Tokens of fewer than ``least`` documents are left out; of the rest the ``most``
+    with the largest absolute value stay.
     """
-    t, c = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    nt, nc = len(toxic), len(clean)
-    out = {}
-    for w in t.keys() | c.keys():
-        both = t[w] + c[w]
-        if both < least:
-            continue
-        a = prior * both / (nt + nc)
-        rate = lambda y, n: (y + a) / (n + prior)
-        p, q = rate(t[w], nt), rate(c[w], nc)
-        d = math.log(p / max(1 - p, 1e-9)) - math.log(q / max(1 - q, 1e-9))
-        out[w] = math.copysign(max(0.0, abs(d) - sure * math.sqrt(1 / (t[w] + a) + 1 / (c[w] + a))), d)
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:most])
+    at = np.flatnonzero(toxic + clean >= least)
+    t, c = toxic[at].astype(float), clean[at].astype(float)
+    a = prior * (t + c) / max(n_toxic + n_clean, 1)
+    logit = lambda y, n: np.log((y + a) / np.maximum(n + prior - y - a, 1e-9))
+    d = logit(t, n_toxic) - logit(c, n_clean)
+    d = np.sign(d) * np.maximum(np.abs(d) - sure * np.sqrt(1 / (t + a) + 1 / (c + a)), 0)
+    keep = np.argsort(-np.abs(d), kind="stable")[:most]
+    return dict(zip(at[keep].tolist(), d[keep].tolist(), strict=True))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -76,19 +71,25 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - x) for s, e, x, r, _ in stack]
 
 
+def _plain(words) -> list:
+    return words.tolist() if isinstance(words, np.ndarray) else words
+
+
 class Scorer:
     """Token scores with their extreme-value law."""
 
-    def __init__(self, odds: dict[str, float], clean: list[list[str]], drift: float = 1.0):
-        """``drift`` is taken off each token's log-odds, so that a clean text's sum falls."""
+    def __init__(self, odds: dict, clean: list, drift: float = 1.0):
+        """``clean`` are token sequences, of texts or of numbers; ``drift`` is taken off each token's log-odds, so that a clean text's sum falls."""
         self.scores, self.other = {w: v - drift for w, v in odds.items()}, -drift
-        seen = Counter(w for d in clean for w in d)
+        seen: Counter = Counter()
+        for d in clean:
+            seen.update(_plain(d))
         values = np.array([self.scores.get(w, self.other) for w in seen] or [self.other])
         weights = np.array(list(seen.values()) or [1], float)
         self.rate = self._rate(values, weights / weights.sum())
-        best = [(max((x[2] for x in segments(self.of(d))), default=0.0), len(d)) for d in clean if d]
+        best = [self.rate * max((x[2] for x in segments(self.of(d))), default=0.0) - math.log(len(d)) for d in clean if len(d)]
         # The mean of a Gumbel law with location ln(K n) / lambda and scale 1 / lambda.
-        self.log_k = float(np.mean([self.rate * s - math.log(n) for s, n in best]) - EULER) if best else 0.0
+        self.log_k = float(np.mean(best) - EULER) if best else 0.0
 
     @staticmethod
     def _rate(values: np.ndarray, p: np.ndarray) -> float:
@@ -104,16 +105,16 @@ class Scorer:
             low, high = (mid, high) if f(mid) < 0 else (low, mid)
         return max(high, 0.05)
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words) -> np.ndarray:
         get, other = self.scores.get, self.other
-        return np.array([get(w, other) for w in words], np.float64)
+        return np.array([get(w, other) for w in _plain(words)], np.float64)
 
-    def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
+    def passages(self, words) -> list[tuple[int, int, float, float]]:
         """(start, end, score, ln E): the expected number of segments as good in a clean text so long."""
         n = math.log(max(len(words), 1))
         return [(s, e, x, self.log_k + n - self.rate * x) for s, e, x in segments(self.of(words))]
 
-    def evidence(self, words: list[str], level: float) -> tuple[float, float, list[tuple[int, int, float, float]]]:
+    def evidence(self, words, level: float) -> tuple[float, float, list[tuple[int, int, float, float]]]:
         """Minus ln p of the best segment, ln(1 + significant segments), and these."""
         found = self.passages(words)
         if not found:
@@ -144,17 +145,24 @@ class ToxicityModel:
 
     def __init__(self, texts: list[str | None], labels: list[int], level: float = 0.01):
         self.level = level
-        docs, y = [tokens(t) for t in texts], np.array(labels, float)
+        number: dict[str, int] = {}
+        docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
+        y = np.array(labels, float)
         self.constant = None
         if len(set(labels)) < 2:  # nothing to tell apart: the share of label 1
             self.constant = float(y.mean()) if len(y) else 0.0
             return
-        sets = [set(d) for d in docs]
         fold = np.arange(len(docs)) % 2
 
+        def holding(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(number), np.int64)
+            for i in rows:
+                out[np.unique(docs[i])] += 1
+            return out
+
         def fit(rows: np.ndarray) -> Scorer:
-            odds = log_odds([sets[i] for i in rows if y[i]], [sets[i] for i in rows if not y[i]])
-            return Scorer(odds, [docs[i] for i in rows if not y[i]])
+            bad, good = rows[y[rows] > 0], rows[y[rows] == 0]
+            return Scorer(log_odds(holding(bad), holding(good), len(bad), len(good)), [docs[i] for i in good])
 
         x = np.zeros((len(docs), 2))
         for k in (0, 1):  # evidence for the calibration comes from the fold that the scores did not see
@@ -163,6 +171,8 @@ class ToxicityModel:
                 x[i] = scorer.evidence(docs[i], level)[:2]
         self.weights = logistic(x, y)
         self.scorer = fit(np.arange(len(docs)))
+        names = list(number)
+        self.scorer.scores = {names[i]: v for i, v in self.scorer.scores.items()}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
         if self.constant is not None:
@@ -187,7 +197,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, level: float = 0.01) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, level: float = 0.01) -> ToxicityModel:
     """Learn from at most ``most`` labelled documents outside the held-out fifth."""
     rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", most).select("doc_id", "text", "label").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
@@ -225,7 +235,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
     return keep_rows(docs, ["text"], lambda rows: np.array([shared.value.score(t)[0] < threshold for t in rows.column(0).to_pylist()], bool))
 
 
-def detect(docs: DataFrame, labels: DataFrame, most: int = 8000, level: float = 0.01) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, most: int = 6000, level: float = 0.01) -> DataFrame:
     """Fit on the labels and score every document: doc_id, held_out, score, predicted, n_passages, passages."""
     out = score(docs, fit(docs, labels, most, level))
     return out.select(
