@@ -6,6 +6,8 @@ it again as the next one's docs. All but the last return the columns of document
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ from tallyframe.llm.common import Scratch
 ORACLE_SQL = None
 
 
+def small_batches(stage):
+    """The stage in a session whose Python workers get at most 2000 rows at once: whole texts make large rows."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= 2000:
+            spark.conf.set(key, "2000")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -52,11 +67,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", drop_poor),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("substring dedup", cut_repeats),
-    ("packing", pack),
+    ("toxicity", small_batches(drop_toxic)),
+    ("quality classifier", small_batches(drop_poor)),
+    ("n-gram Jaccard join", small_batches(drop_near_copies)),
+    ("substring dedup", small_batches(cut_repeats)),
+    ("packing", small_batches(pack)),
 ]
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows at once: whole texts make large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    if 0 < now <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut an operator's lineage.
 
@@ -53,7 +72,8 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{len(self.paths)}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]
@@ -154,7 +174,7 @@ class Powers:
         return self.up, self.down
 
 
-def word_hashes(column: pa.Array, powers: Powers, lower: bool = False, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, powers: Powers, lower: bool = False, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a column of texts, and how many each text has; with ``lower``, A-Z count as a-z.
 
     The column's bytes are worked on as one array, about ``block`` of them at a time; a null text has no words.

@@ -150,7 +150,7 @@ class Join:
         def run(batches):
             powers = Powers()
             for batch in batches:
-                for rows in slices(batch, 2 << 20):
+                for rows in slices(batch, 1 << 20):
                     sets = shingle_sets(rows.column(1), rule.words, powers)
                     heads = [s[: (rule.slack(len(s)) + 1) * 3 // 2 + 8].tobytes() for s in sets]
                     prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -200,7 +200,7 @@ class Join:
             powers = Powers()
             often, node = shared.value
             for batch in batches:
-                for rows in slices(batch, 2 << 20):
+                for rows in slices(batch, 1 << 20):
                     h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << id_bits) - 1)
                     rows = rows.filter(pa.array(has(node, h)))
                     sets = shingle_sets(rows.column(2), rule.words, powers)
@@ -266,7 +266,7 @@ class Join:
         def sets(batches):
             powers = Powers()
             for batch in batches:
-                for rows in slices(batch, 2 << 20):
+                for rows in slices(batch, 1 << 20):
                     h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
                     wanted = shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
                     rows = rows.filter(pa.array(wanted.astype(bool)))

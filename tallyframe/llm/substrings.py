@@ -76,7 +76,7 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for rows in slices(batch, 2 << 20):
+            for rows in slices(batch, 1 << 20):
                 w = Windows(powers, rows.column(1), size, gram)
                 begin, _ = w.runs(1 << 60)
                 each = np.split(w.anchor[begin], np.cumsum(np.bincount(w.doc[begin], minlength=rows.num_rows))[:-1]) if rows.num_rows else []
@@ -140,7 +140,7 @@ def _runs(docs: DataFrame, size: int, gram: int, sketch: np.ndarray, bits: int)
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for rows in slices(batch, 2 << 20):
+            for rows in slices(batch, 1 << 20):
                 w = Windows(powers, rows.column(2), size, gram)
                 if not len(w.at):
                     continue
