@@ -88,7 +88,7 @@ class Chunks:
 class BytePairEncoder:
     """Encoder and decoder for a rank table and a split pattern; special tokens are ordinary text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000):
         import ahocorasick
         import regex
 
