@@ -6,6 +6,7 @@ so that many run side by side, and a document's probabilities are the mean over
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -52,7 +53,7 @@ class Direction:
     def backward(self, x: np.ndarray, kept: list, d_states: np.ndarray) -> list[np.ndarray]:
         """Gradients of the parameters, from those of the states, back through all steps."""
         h, d_table, d_inner, d_bias = self.h, np.zeros_like(self.table), np.zeros_like(self.inner), np.zeros_like(self.bias)
-        d = np.zeros_like(d_states[0])
+        d, d_own = np.zeros_like(d_states[0]), np.empty((*x.shape, 3 * h), self.table.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, u, n = kept[t]
             d = d + d_states[t]
@@ -60,11 +61,13 @@ class Direction:
             d_u = d_n * r
             d_z = d * (before - n) * z * (1 - z)
             d_r = d_n * u * r * (1 - r)
-            np.add.at(d_table, x[t], np.concatenate([d_z, d_r, d_n], 1))
+            d_own[t] = np.concatenate([d_z, d_r, d_n], 1)
             inner = np.concatenate([d_z, d_r, d_u], 1)
             d_inner += before.T @ inner
             d_bias += d_u.sum(0)
             d = d * z + inner @ self.inner.T
+        for k in range(3 * h):
+            d_table[:, k] = np.bincount(x.ravel(), d_own[:, :, k].ravel(), 256)
         return [d_table, d_inner, d_bias]
 
     def states(self, x: np.ndarray, live: np.ndarray | None) -> np.ndarray:
@@ -139,11 +142,18 @@ class Network:
         return logits.sum(0) if alive is None else (logits * alive[:, :, None]).sum(0)
 
 
-def train(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 250, rows: int = 96, width: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit on random windows of the texts, every label as often as any other, by Adam with a falling rate."""
+def train(texts: list[str], labels: list[str], hidden: int | None = None, steps: int | None = None, rows: int = 96, width: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+    """Fit on random windows of the texts, every label as often as any other, by Adam with a falling rate.
+
+    Unless given, hidden units and steps grow with the root of the number of labels: 8 and 250 at four of them.
+    """
     rng, names = np.random.default_rng(seed), sorted(set(labels))
-    net = Network(names, hidden)
-    raw = {n: [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t, x in zip(texts, labels, strict=True) if x == n] for n in names}
+    root = max(2, math.ceil(math.sqrt(len(names))))
+    hidden, steps = hidden or 4 * root, steps or 125 * root
+    net, raw = Network(names, hidden), {n: [] for n in names}
+    for t, n in zip(texts, labels, strict=True):
+        raw[n].append(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
+    once = max(1, min(rows, (1 << 22) // (width * max(1, len(names)))))  # rows whose probabilities are held at once
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for step in range(1, steps + 1 if len(names) > 1 else 1):
         y = rng.integers(len(names), size=rows)
@@ -153,7 +163,8 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 250
             at = rng.integers(max(1, len(own) - width + 1))
             part = own[at : at + width]
             x[i, : len(part)] = part
-        _, grads = net.loss(np.ascontiguousarray(x.T), y)
+        some = [(len(y[at : at + once]) / rows, net.loss(np.ascontiguousarray(x[at : at + once].T), y[at : at + once])[1]) for at in range(0, rows, once)]
+        grads = [sum(w * g for (w, _), g in zip(some, own, strict=True)) for own in zip(*(g for _, g in some), strict=True)]
         size = float(np.sqrt(sum((g * g).sum() for g in grads)))
         now = rate * (1 - 0.9 * step / steps)
         for p, g, (m, v) in zip(net.parameters(), grads, state, strict=True):
@@ -166,6 +177,7 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 250
 
 def probabilities(net: Network, texts: list[str | None], width: int = 128, together: int = 2048) -> np.ndarray:
     """(texts, labels): the mean over all bytes of each text; zero where there are none."""
+    together = max(1, min(together, (1 << 16) // (len(net.labels) + 2 * net.ways[0].h)))
     out = np.zeros((len(texts), len(net.labels)))
     raw = [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
     size = np.array([len(r) for r in raw])
@@ -183,16 +195,20 @@ def probabilities(net: Network, texts: list[str | None], width: int = 128, toget
     return out / np.maximum(size, 1)[:, None]
 
 
-def fit(docs: DataFrame, each: int = 400, most_labels: int = 64, longest: int = 4_000) -> Network | None:
-    """Learn from at most ``each`` training documents of each of the ``most_labels`` commonest languages.
+def fit(docs: DataFrame, each: int = 400, longest: int = 4_000, most: int = 102_400_000) -> Network | None:
+    """Learn every language of the training documents, from at most ``each`` documents of each one.
 
     The documents are chosen by a hash of the id; of a longer one a stretch of ``longest`` characters is learnt from.
+    No language is left out: where there are so many that all of this would come to more than ``most`` characters, the
+    stretches become shorter, down to 256 characters, and then the documents of each language fewer, down to one.
     Held-out rows, rows without a language, and texts without a letter take no part. None if nothing is left.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).select("lang")
+    share = most // max(1, known.agg(F.count_distinct("lang")).first()[0])
+    longest = min(longest, max(256, share // each))
+    each = min(each, max(1, share // longest))
     # The ids first, so that only chosen texts travel.
-    chosen = known.select("doc_id", "lang", F.xxhash64("text").alias("t")).join(F.broadcast(common), "lang", "left_semi")
+    chosen = known.select("doc_id", "lang", F.xxhash64("text").alias("t"))
     chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))).where(F.col("n") <= each).select("doc_id", "lang").distinct()
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {longest // 2}), {longest})").alias("text"), "lang").orderBy("lang", "doc_id", "text").toArrow()
     if not rows.num_rows:
@@ -210,8 +226,9 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches):
         net = shared.value
+        most = max(1, (1 << 22) // max(1, len(net.labels) if net else 1))  # rows whose probabilities are held at once
         for batch in batches:
-            for rows in slices(batch, 2 << 20):
+            for rows in (part.slice(at, most) for part in slices(batch, 2 << 20) for at in range(0, part.num_rows, most)):
                 texts = rows.column(1).to_pylist()
                 lettered = np.array([bool(t) and net is not None and LETTER.search(t) is not None for t in texts])
                 names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))

@@ -53,6 +53,20 @@ def test_odd_rows(spark):
     assert detect(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()[0].lang_pred == "und"
 
 
+def test_more_than_64_languages_are_all_learnt(spark):
+    """Each language has words of its own; the rarest come last by count and are told apart like the others."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(70):
+        words = ["".join(chr(97 + c) for c in rng.integers(26, size=rng.integers(3, 7))) for _ in range(6)]
+        for _ in range(12 if k < 64 else 8):
+            rows.append((len(rows), " ".join(rng.choice(words, 120)), f"x{k:02d}"))
+    got = {r.doc_id: r for r in detect(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    right = {k: [got[i].lang_pred == n for i, _, n in rows if n == k] for k in {n for _, _, n in rows}}
+    assert all(any(right[f"x{k}"]) for k in range(64, 70))
+    out = [got[i].lang_pred == n for i, _, n in rows if got[i].held_out]
+    assert sum(out) >= 0.9 * len(out)
+
+
 def test_held_out_accuracy(spark):
     from tallyframe.llm.queries import op5_language_id
 
