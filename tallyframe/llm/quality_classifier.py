@@ -1,8 +1,8 @@
 """Quality classification by co-training.
 
 Two logistic classifiers see a document from two sides: its text's content, and the metadata of its page. Both start
-from the labelled documents; in each round each one labels, of a pool without labels, those it is surest of,
-and the other one learns from them. Calibrated on labelled documents that they did not learn from, the two views are
+from the labelled documents; in each round each one labels, of all documents without labels, those it is surest
+of, and the other one learns from them. Calibrated on labelled documents that they did not learn from, the two views are
 combined and score every document.
 """
 
@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, slices
+from .common import Scratch, held_out, keep_rows, slices
 from .toxicity import labelled_sample, logistic
 
 #: Of bytes: one class for each punctuation mark and white space, one each for digits, capitals, small letters and the rest.
@@ -75,32 +75,100 @@ class View:
         return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = 4, most: int = 100, sure: float = 0.95) -> tuple[list[View], int]:
-    """A classifier for each view, and how many pseudo-labels they gave each other.
+class Arrays:
+    """Documents without labels in memory, an array for each view."""
+
+    def __init__(self, pools: list[np.ndarray]):
+        self.pools, self.left = pools, {}
+
+    def surest(self, fits: list[list[View]], most: int, least: float) -> list[tuple[int, int, int, np.ndarray]]:
+        """(fit, view, label, the other view's features) of what each view is surest of; once given, a document is left out."""
+        out = []
+        for f, k in np.ndindex(len(fits), 2) if len(self.pools[0]) else ():
+            left = self.left.setdefault((f, k), np.ones(len(self.pools[k]), bool))
+            odds = fits[f][k].odds(self.pools[k])
+            for label, signed in ((1, odds), (0, -odds)):
+                fit = np.flatnonzero(left & (signed > least))
+                fit = fit[np.argsort(-signed[fit], kind="stable")][:most]
+                left[fit] = False
+                out.append((f, k, label, self.pools[1 - k][fit]))
+        return out
+
+
+class Table:
+    """As Arrays, for a table (key, features: the doubles of both views); only those chosen reach the driver.
+
+    Ties go to the smaller key. Rows with equal keys count as one document.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.given = rows, {}
+
+    def surest(self, fits: list[list[View]], most: int, least: float) -> list[tuple[int, int, int, np.ndarray]]:
+        shared = self.rows.sparkSession.sparkContext.broadcast((fits, self.given))
+
+        def run(batches):
+            (fits, given), best = shared.value, {}
+            cut = len(fits[0][0].mean)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+                for f, k in np.ndindex(len(fits), 2):
+                    # Rounded, so that equal rows tie whatever batch they are in.
+                    odds = np.round(fits[f][k].odds(x[:, :cut] if k == 0 else x[:, cut:]), 9)
+                    left = ~np.isin(key, given.get((f, k), []))
+                    for label, signed in ((1, odds), (0, -odds)):
+                        fit = np.flatnonzero(left & (signed > least))
+                        fit = fit[np.lexsort((key[fit], -signed[fit]))]
+                        fit = fit[np.sort(np.unique(key[fit], return_index=True)[1])][:most]
+                        own = best.setdefault((f, k, label), {})
+                        own.update((int(key[i]), (-float(signed[i]), raw[i])) for i in fit)
+                        if len(own) > most:
+                            best[f, k, label] = dict(sorted(own.items(), key=lambda r: (r[1][0], r[0]))[:most])
+            rows = [(f, k, label, key, *r) for (f, k, label), own in best.items() for key, r in own.items()]
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1000], strict=True), kinds, strict=True)], names=names)
+
+        names, kinds = ["fit", "view", "label", "key", "minus", "features"], [pa.int32()] * 3 + [pa.int64(), pa.float64(), pa.binary()]
+        lists, order = ["fit", "view", "label"], ["minus", "key"]
+        found = self.rows.mapInArrow(run, "fit int, view int, label int, key long, minus double, features binary").withColumn("share", F.spark_partition_id() % 16)
+        for by in ([*lists, "share"], lists):  # the last step gets few rows, however many tasks there were
+            found = found.dropDuplicates([*by, "key"]) if by == lists else found
+            found = found.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= most)
+        rows, out, cut = found.orderBy(*lists, *order).select(*lists, "key", "features").collect(), {}, len(fits[0][0].mean)
+        for r in rows:
+            x = np.frombuffer(bytes(r.features))
+            out.setdefault((r.fit, r.view, r.label), []).append(x[cut:] if r.view == 0 else x[:cut])
+            self.given.setdefault((r.fit, r.view), []).append(r.key)
+        return [(*at, np.array(x)) for at, x in out.items()]
+
+
+def co_train_all(tasks: list[tuple[list[np.ndarray], np.ndarray]], pool: Arrays | Table, rounds: int = 4, most: int = 100, sure: float = 0.95) -> tuple[list[list[View]], list[int]]:
+    """For each task (views, y) a classifier for each view, and how many pseudo-labels they gave each other.
 
     In each round each view passes on to the other up to ``most`` documents of the pool for each label, those of
-    which it is surest, and at least ``sure``. A document is passed on once by each view.
+    which it is surest, and at least ``sure``. A document is passed on once by each view. The tasks share each
+    round's pass over the pool.
     """
-    own = [(x, y) for x in views]
-    left, given = [np.ones(len(pools[0]), bool) for _ in views], 0
-    models = [View().fit(*o) for o in own]
+    own, given = [[(x, y) for x in views] for views, y in tasks], [0] * len(tasks)
+    models = [[View().fit(*o) for o in both] for both in own]
     for _ in range(rounds):
-        new: list[list] = [[], []]
-        for k, model in enumerate(models):
-            if not len(pools[k]):
-                continue
-            odds = model.odds(pools[k])
-            for label, signed in ((1, odds), (0, -odds)):
-                fit = np.flatnonzero(left[k] & (signed > math.log(sure / (1 - sure))))
-                fit = fit[np.argsort(-signed[fit], kind="stable")][:most]
-                left[k][fit] = False
-                new[1 - k].append((pools[1 - k][fit], np.full(len(fit), float(label))))
-                given += len(fit)
-        own = [(np.concatenate([o[0], *(n[0] for n in add)]), np.concatenate([o[1], *(n[1] for n in add)])) for o, add in zip(own, new, strict=True)]
-        models = [View().fit(*o) for o in own]
+        for f, k, label, x in pool.surest(models, most, math.log(sure / (1 - sure))):
+            old = own[f][1 - k]
+            own[f][1 - k] = np.concatenate([old[0], x]), np.concatenate([old[1], np.full(len(x), float(label))])
+            given[f] += len(x)
+        models = [[View().fit(*o) for o in both] for both in own]
     return models, given
 
 
+def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], **options) -> tuple[list[View], int]:
+    """One task of ``co_train_all`` with its pool in memory."""
+    models, given = co_train_all([(views, y)], Arrays(pools), **options)
+    return models[0], given[0]
+
+
 @dataclass
 class QualityModel:
     models: list[View]
@@ -116,17 +184,16 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([z, odds]), -30, 30)))
 
 
-def fit_model(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray]) -> QualityModel:
+def fit_model(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Table) -> QualityModel:
     """Co-train on everything; calibrate and combine on odds that two halves give each other."""
     if len(y) < 4 or min(y.sum(), len(y) - y.sum()) < 2:
         return QualityModel([], np.zeros(3), float(y.mean()) if len(y) else 0.5)
     fold, odds = np.arange(len(y)) % 2, np.zeros((len(y), 2))
-    for k in (0, 1):
-        learn = fold != k
-        if 0 < y[learn].sum() < learn.sum():
-            models, _ = co_train([v[learn] for v in views], y[learn], pools)
-            odds[~learn] = np.column_stack([m.odds(v[~learn]) for m, v in zip(models, views, strict=True)])
-    models, _ = co_train(views, y, pools)
+    halves = [k for k in (0, 1) if 0 < y[fold != k].sum() < (fold != k).sum()]
+    tasks = [([v[fold != k] for v in views], y[fold != k]) for k in halves]
+    *parts, models = co_train_all([*tasks, (views, y)], pool if isinstance(pool, Table) else Arrays(pool))[0]
+    for k, part in zip(halves, parts, strict=True):
+        odds[fold == k] = np.column_stack([m.odds(v[fold == k]) for m, v in zip(part, views, strict=True)])
     return QualityModel(models, logistic(odds, y, ridge=0.1))
 
 
@@ -136,8 +203,23 @@ def _views(rows) -> list[np.ndarray]:
     return [np.array([content(t) for t in text]), np.array([metadata(*m) for m in zip(*page, strict=True)])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, pool: int = 3000) -> QualityModel:
-    """Learn from at most ``most`` labelled training documents and ``pool`` others, both chosen by a hash of the id.
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key and features of every document without a label outside the held-out fifth."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch):
+                x = np.hstack(_views(rows))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "key", "features"])
+
+    page = ("text", "source", "lang", "n_chars")
+    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("doc_id", *page).alias("key"), *page)
+    # Features before the join, so that no text travels.
+    return rows.mapInArrow(run, "doc_id long, key long, features binary").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "features")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> QualityModel:
+    """Learn from at most ``most`` labelled training documents, chosen by a hash of the id, and from all without a label.
 
     The held-out fifth is neither learnt from nor in the pool.
     """
@@ -147,11 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, pool: int = 3000)
     y = np.array(some.column("label").to_pylist(), float)
     views = _views(some) if some.num_rows else [np.zeros((0, 1)), np.zeros((0, 1))]
     del some
-    free = own.select("doc_id").where(~held_out(F.col("doc_id"))).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    ids = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).distinct()
-    rest = own.join(F.broadcast(ids), "doc_id", "left_semi").drop("doc_id").toArrow()
-    pools = _views(rest) if rest.num_rows else [v[:0] for v in views]
-    return fit_model(views, y, pools)
+    scratch = Scratch(docs.sparkSession)
+    rest = scratch.table(unlabelled(own, labels))
+    model = fit_model(views, y, Table(rest))
+    scratch.drop(rest)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tallyframe.llm.quality_classifier import classify, co_train, content, fit_model
+from tallyframe.llm.quality_classifier import Arrays, Table, classify, co_train, co_train_all, content, fit_model, unlabelled
 
 
 def test_views_teach_each_other():
@@ -43,6 +43,23 @@ def test_odd_rows(spark):
     assert all(r.score == 0.5 for r in classify(df, labels.limit(0)).collect())
 
 
+def test_pseudo_labels_come_from_all_documents(spark):
+    """The surest documents of 5000 are found wherever they are, as in memory; no fixed sample stands in for them."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(2, size=200).astype(float)
+    views = [np.column_stack([y * 4 - 2 + rng.normal(size=200)]), np.column_stack([y * 4 - 2 + rng.normal(size=200)])]
+    z = rng.integers(2, size=(5000, 1)) * 4 - 2
+    pools = [z + rng.normal(size=(5000, 1)), z + rng.normal(size=(5000, 1))]
+    rows = [(i, np.concatenate([a, b]).tobytes()) for i, (a, b) in enumerate(zip(*pools, strict=True))]
+    table = Table(spark.createDataFrame(rows, "key long, features binary").repartition(7))
+    want, got = co_train_all([(views, y)], Arrays(pools)), co_train_all([(views, y)], table)
+    assert want[1] == got[1] and want[1][0] > 1000
+    assert all(np.allclose(a.weights, b.weights, atol=1e-5) for a, b in zip(want[0][0], got[0][0], strict=True))
+    docs = spark.createDataFrame([(i, f"text {i}", "s", "en", 5) for i in range(5000)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    assert unlabelled(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(100, 5000))
+
+
 def test_held_out_accuracy(spark):
     from tallyframe.llm.queries import op6_quality_classifier
 
