@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,21 +42,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """While it holds, Python workers get at most so many rows at once: whole texts make large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own, now = spark.conf.get(key, None), int(spark.conf.get(key))
-    if 0 < now <= rows:
-        yield
-        return
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows and about so many bytes at once: whole texts make large rows."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, most in wanted.items():
+            digits = re.sub(r"\D", "", before[k] or "")
+            if not (digits == before[k] and 0 < int(digits) <= most):
+                spark.conf.set(k, str(most))
         yield
     finally:
-        if own is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, own)
+        for k, own in before.items():
+            if own is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, own)
 
 
 class Scratch:
@@ -136,6 +139,25 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+def tidy() -> None:
+    """Give back the memory that a Python worker keeps free: it stays for other tasks, and holds on to its peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of mapInArrow with a tidy worker after it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -155,29 +177,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(_BYTE, -32), _BYTE)
-
-
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            one = np.ones(1, np.uint64)
-            self.up = np.concatenate((one, np.cumprod(np.full(2 * n, BASE, np.uint64))))
-            self.down = np.concatenate((one, np.cumprod(np.full(2 * n, pow(BASE, -1, 1 << 64), np.uint64))))
-        return self.up, self.down
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+#: The bytes of an eight-byte number that belong to a word of so many bytes.
+_INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+_LONG = 128
+#: One odd factor for each of the two hashes of a word.
+_ODD = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+
+
+def _absorbed(state: np.ndarray, chunk: np.ndarray, odd: int) -> np.ndarray:
+    """States after eight more bytes each; one-to-one in these bytes."""
+    x = state ^ chunk
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(odd)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, halves: int) -> list[np.ndarray]:
+    """One or two 64-bit hashes of words, eight bytes at a time. Eight bytes more than the words' must follow in ``data``."""
+    eights = np.ndarray(len(data) - 7, "<u8", data.data, 0, (1,))
+    out = [_absorbed(sizes.astype(np.uint64) * np.uint64(odd), eights[starts] & _INSIDE[np.minimum(sizes, 8)], odd) for odd in _ODD[:halves]]
+    more, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(more):
+        chunk = eights[starts[more] + done] & _INSIDE[np.minimum(sizes[more] - done, 8)]
+        for h, odd in zip(out, _ODD, strict=False):
+            h[more] = _absorbed(h[more] * np.uint64(BASE), chunk, odd)
+        done += 8
+        more = more[sizes[more] > done]
+    if (long := np.flatnonzero(sizes > _LONG)).size:
+        import xxhash
+
+        for i in long.tolist():
+            whole = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+            for k, h in enumerate(out):
+                h[i] = whole >> 64 * k & 0xFFFFFFFFFFFFFFFF
+    return out
 
 
-def word_hashes(column: pa.Array, powers: Powers, lower: bool = False, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a column of texts, and how many each text has; with ``lower``, A-Z count as a-z.
+def word_hashes(column: pa.Array, lower: bool = False, halves: int = 1, block: int = 1 << 18) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of all words of a column of texts, how many words each text has, and each word's bytes; with ``lower``, A-Z count as a-z.
 
-    The column's bytes are worked on as one array, about ``block`` of them at a time; a null text has no words.
+    There are ``halves`` arrays of 64-bit hashes; two of them make 128 bits of each word's bytes. The column's bytes are worked
+    on as one array, about ``block`` of them at a time; a null text has no words.
     """
     if column.null_count:
         column = column.fill_null("")
@@ -185,21 +231,34 @@ def word_hashes(column: pa.Array, powers: Powers, lower: bool = False, block: in
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
     ends = ends - (ends[0] if len(ends) else 0)
-    space = np.concatenate(([True], _SPACE[data], [True]))
-    fresh = np.zeros(len(data) + 1, bool)  # a text starts here
-    fresh[ends[ends < len(data)]] = True
-    starts = np.flatnonzero(~space[1:-1] & (space[:-2] | fresh[:-1]))
-    stops = np.flatnonzero(~space[1:-1] & (space[2:] | fresh[1:])) + 1
-    table, out, at = _LOWER if lower else _BYTE, np.empty(len(starts), np.uint64), 0
+    space = np.ones(len(data) + 2, bool)  # one more at each end
+    space[1:-1] = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    inner = ends[(ends > 0) & (ends < len(data))]
+    inner = np.unique(inner[~(space[inner] | space[inner + 1])])  # a text ends and the next one starts without a space between
+    if len(inner):
+        starts = np.insert(starts, np.searchsorted(starts, inner), inner)
+        stops = np.insert(stops, np.searchsorted(stops, inner), inner)
+    sizes, out, at = stops - starts, [np.empty(len(starts), np.uint64) for _ in range(halves)], 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(stops, starts[at] + block)))
-        first, last = starts[at], stops[upto - 1]
-        up, down = powers.to(last - first)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data[first:last]] * up[: last - first])))
-        s = starts[at:upto] - first
-        out[at:upto] = (sums[stops[at:upto] - first] - sums[s]) * down[s]
+        part = np.zeros(stops[upto - 1] - starts[at] + 8, np.uint8)
+        own = data[starts[at] : stops[upto - 1]]
+        part[:-8] = _SMALL[own] if lower else own
+        for h, found in zip(out, _hashed(part, starts[at:upto] - starts[at], sizes[at:upto], halves), strict=True):
+            h[at:upto] = found
         at = upto
-    return mixed(out), np.diff(np.searchsorted(starts, ends))
+    return out, np.diff(np.searchsorted(starts, ends)), sizes
+
+
+def strung(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` neighbours of hashed words."""
+    n = max(0, len(words) - size + 1)
+    s = np.full(n, size, np.uint64)
+    for j in range(size):
+        s = mixed(s * np.uint64(BASE) + words[j : n + j])
+    return s
 
 
 def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -6,6 +6,9 @@ itself. Frequent tokens are dealt into groups, and a signature is a pair of toke
 group may then share one token unseen, the prefix is extended until enough tokens are left over. Which
 tokens count as frequent only moves cost: any fixed choice finds all links.
 
+Candidates are found by 64-bit hashes of tokens, which can only find too many. Whether sets are equal, how large they are and
+what they share is told by 128-bit hashes of the words' bytes.
+
 Equal sets are one node. Links are first sought from each signature's smallest node; what that connects is one
 component, and after that only pairs across components that share a signature are compared. Position and
 parity-bitmap bounds drop pairs inside the join; the rest is verified on the whole sets.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Powers, Scratch, bitmap, marked, mixed, slices, word_hashes
+from .common import Scratch, bitmap, marked, slices, strung, tidied, word_hashes
 from .graphs import components
 
 #: 64-bit words of a parity bitmap.
@@ -49,31 +52,52 @@ class Rule:
         n = (self.den / self.num) ** level
         return max(1, int(n * (1 - self.num / self.den) / 6))
 
+    def paired(self, level: int) -> bool:
+        """Whether every set of this level and of the one below has tokens enough for a prefix of pairs; else single ones are taken.
+
+        Sets that link treat their common level alike.
+        """
+        least = max(1, int(np.ceil((self.den / self.num) ** (level - 1) - 1e-9)))
+        return least - self.slack(least) > self.groups(level)
 
-def shingle_sets(texts: pa.Array, words: int, powers: Powers) -> list[np.ndarray]:
-    """The sorted different shingles of each text as 64-bit hashes; A-Z are lower-cased.
 
-    A text of fewer words is one shingle as a whole; one without words is empty.
+def shingle_sets(texts: pa.Array, words: int, halves: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """The different shingles of each text by their hashes, one array for each half, sorted by the first one; A-Z are lower-cased.
+
+    A text of fewer words is one shingle as a whole; one without words is empty. With one half, shingles of one
+    first hash stay apart only if ``halves`` is 2, so a set is never smaller there.
     """
-    h, counts = word_hashes(texts, powers, lower=True)
-    ends = np.cumsum(counts)
-
-    def strung(part: np.ndarray, size: int) -> np.ndarray:
-        s = np.full(max(0, len(part) - size + 1), size, np.uint64)
-        for j in range(size):
-            s = s * np.uint64(BASE) + part[j : len(s) + j]
-        return mixed(s)
-
-    whole, out = strung(h, words), []
-    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-        if n >= words:
-            s = np.sort(whole[end - n : end - words + 1])
-            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
-        else:
-            out.append(strung(h[end - n : end], n) if n else np.zeros(0, np.uint64))
+    hashes, counts, _ = word_hashes(texts, True, halves)
+    whole, out = [strung(h, words) for h in hashes], []
+    for n, end in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+        own = [w[end - n : end - words + 1] for w in whole] if n >= words else [strung(h[end - n : end], n) if n else h[:0] for h in hashes]
+        if halves == 1:
+            s = np.sort(own[0])
+            out.append((s[np.concatenate(([True], s[1:] != s[:-1]))] if n else s,))
+            continue
+        order = np.argsort(own[0], kind="stable")
+        s, t = (o[order] for o in own)
+        same, other = s[1:] == s[:-1], t[1:] != t[:-1]
+        if (same & other).any():  # different shingles with one first hash: sorted by both
+            order = np.lexsort((t, s))
+            s, t = s[order], t[order]
+            same, other = s[1:] == s[:-1], t[1:] != t[:-1]
+        keep = np.concatenate(([True], ~same | other)) if n else np.zeros(0, bool)
+        out.append((s[keep], t[keep]))
     return out
 
 
+def common_size(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, by both halves."""
+    s = np.concatenate((a[0], b[0]))
+    order = np.argsort(s, kind="stable")
+    s, t = s[order], np.concatenate((a[1], b[1]))[order]
+    same = s[1:] == s[:-1]
+    if (same[1:] & same[:-1]).any():  # more than two with one first hash
+        return len(set(zip(*(x.tolist() for x in a), strict=True)) & set(zip(*(x.tolist() for x in b), strict=True)))
+    return int((same & (t[1:] == t[:-1])).sum())
+
+
 def parity(tokens: np.ndarray) -> np.ndarray:
     """A bitmap in which each token flips a bit: two of them differ in no more bits than their sets in tokens."""
     odd = (np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)
@@ -93,8 +117,20 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np
         return alone, np.arange(need), np.zeros(need, np.int64)
     # The place of a pair is that of its first token; before it each other group may share one token.
     sig, pos, spare = [], [], []
+
+    def add(key: int, place: int, unseen: int) -> None:
+        key &= 0xFFFFFFFFFFFFFFFF
+        sig.append(key - (key >> 63 << 64))
+        pos.append(place)
+        spare.append(unseen)
+
     for level in (rule.level(n), rule.level(n) + 1):
-        groups, left = rule.groups(level), need - len(rare)
+        salt, left = level * 0xA0761D6478BD642F, need - len(rare)
+        if not rule.paired(level):
+            for i, t in enumerate(common[:left].tolist(), len(rare)):
+                add(t ^ salt, i, 0)
+            continue
+        groups = rule.groups(level)
         held: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(common.tolist(), len(rare)):
             g = (t >> 8) % groups
@@ -105,10 +141,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np
                 break
         for g in held.values():
             for (t, i), (u, _) in combinations(g, 2):
-                key = (t * 0x9E3779B97F4A7C15 ^ u * 0xD6E8FEB86659FD93 ^ level * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF
-                sig.append(key - (key >> 63 << 64))
-                pos.append(i)
-                spare.append(groups - 1)
+                add(t * 0x9E3779B97F4A7C15 ^ u * 0xD6E8FEB86659FD93 ^ salt, i, groups - 1)
     return np.concatenate((alone, np.array(sig, np.int64))), np.concatenate((np.arange(len(alone)), np.array(pos, np.int64))), np.concatenate((np.zeros(len(alone), np.int64), np.array(spare, np.int64)))
 
 
@@ -142,21 +175,20 @@ class Join:
         return min(self.most_bits, max(10, count.bit_length()))
 
     def _sets(self) -> DataFrame:
-        """doc_id, n, a fingerprint of the set and its first tokens by hash (half as many again as a prefix needs)."""
+        """doc_id, n, a 128-bit fingerprint of the set and its first tokens by hash (half as many again as a prefix needs)."""
         import xxhash
 
         rule = self.rule
 
         def run(batches):
-            powers = Powers()
             for batch in batches:
                 for rows in slices(batch, 1 << 20):
-                    sets = shingle_sets(rows.column(1), rule.words, powers)
-                    heads = [s[: (rule.slack(len(s)) + 1) * 3 // 2 + 8].tobytes() for s in sets]
-                    prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "head": pa.array(heads, pa.binary())})
+                    sets = shingle_sets(rows.column(1), rule.words, 2)
+                    heads = [s[: (rule.slack(len(s)) + 1) * 3 // 2 + 8].tobytes() for s, _ in sets]
+                    prints = [xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) for s, t in sets]
+                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n": pa.array([len(s) for s, _ in sets], pa.int64()), "print": pa.array(prints, pa.binary()), "head": pa.array(heads, pa.binary())})
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, print binary, head binary")
+        return self.docs.mapInArrow(tidied(run), "doc_id long, n long, print binary, head binary")
 
     def _frequent(self, nodes: DataFrame) -> tuple[np.ndarray, int]:
         """A bitmap of hashed tokens that are among the first of more than ``often`` nodes.
@@ -171,7 +203,7 @@ class Join:
                     once, n = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"token": pa.array(once), "n": pa.array(n)})
 
-        counts = nodes.select("head").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.often)
+        counts = nodes.select("head").mapInArrow(tidied(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.often)
         size = nodes.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
         bits = self._bits(size)
         at = F.shiftrightunsigned("token", 64 - bits)
@@ -197,14 +229,12 @@ class Join:
             return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
         def run(batches):
-            powers = Powers()
             often, node = shared.value
             for batch in batches:
                 for rows in slices(batch, 1 << 20):
                     h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << id_bits) - 1)
                     rows = rows.filter(pa.array(has(node, h)))
-                    sets = shingle_sets(rows.column(2), rule.words, powers)
-                    full = [(i, s) for i, s in enumerate(sets) if len(s)]
+                    full = [(i, s) for i, (s,) in enumerate(shingle_sets(rows.column(2), rule.words)) if len(s)]
                     if not full:
                         continue
                     marks = has(often, np.concatenate([s for _, s in full]) >> np.uint64(64 - bits))
@@ -223,7 +253,7 @@ class Join:
                     zero = pa.array(np.zeros(len(full), np.int32))
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), rows.column(0).take(pa.array(doc)), pa.array(size.astype(np.int32)), zero, zero, own], schema=schema)
 
-        return self.keyed.mapInArrow(run, "sig long, doc_id long, n int, pos int, spare int, bits array<long>")
+        return self.keyed.mapInArrow(tidied(run), "sig long, doc_id long, n int, pos int, spare int, bits array<long>")
 
     def _bounds(self, a: str, b: str) -> str:
         """SQL: a and b may link, by size and by the bits in which their parities differ."""
@@ -257,40 +287,37 @@ class Join:
         return found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, with both sizes and the size of the intersection, by their whole sets."""
+        """The pairs (a, b) that link, with both sizes and the size of the intersection, from their whole texts."""
         pairs, rule = self.scratch.table(pairs), self.rule
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         bits = self._bits(16 * ends.count())
         shared = self.spark.sparkContext.broadcast(bitmap(ends, "doc_id", bits).view(np.uint64))
 
-        def sets(batches):
-            powers = Powers()
+        def wanted(batches):
             for batch in batches:
-                for rows in slices(batch, 1 << 20):
-                    h = rows.column(1).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
-                    wanted = shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
-                    rows = rows.filter(pa.array(wanted.astype(bool)))
-                    found = shingle_sets(rows.column(2), rule.words, powers)
-                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
+                h = batch.column(1).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+                on = shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+                yield batch.filter(pa.array(on.astype(bool))).select([0, 2])
 
         def compare(batches):
             for batch in batches:
-                keep, out = [], []
-                for i in range(batch.num_rows):
-                    s, t = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                    both = np.concatenate((s, t))
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    if rule.den * common >= rule.num * (len(both) - common):
-                        keep.append(i)
-                        out.append((len(s), len(t), common))
-                ends = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ends, *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
-
-        whole = self.scratch.table(self.keyed.mapInArrow(sets, "doc_id long, tokens binary"))
-        left = pairs.join(whole.withColumnsRenamed({"doc_id": "a", "tokens": "s"}), "a")
-        both = left.join(whole.withColumnsRenamed({"doc_id": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
-        out = self.scratch.table(both.mapInArrow(compare, "a long, b long, n_a long, n_b long, common long").distinct())
+                for rows in slices(batch, 1 << 20):
+                    keep, out = [], []
+                    sets = (shingle_sets(rows.column(k), rule.words, 2) for k in (2, 3))
+                    for i, (s, t) in enumerate(zip(*sets, strict=True)):
+                        common = common_size(s, t)
+                        if rule.den * common >= rule.num * (len(s[0]) + len(t[0]) - common):
+                            keep.append(i)
+                            out.append((len(s[0]), len(t[0]), common))
+                    ends = [rows.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*ends, *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
+
+        # Texts are smaller than the hashes of their shingles.
+        whole = self.scratch.table(self.keyed.mapInArrow(tidied(wanted), "doc_id long, text string"))
+        left = pairs.join(whole.withColumnsRenamed({"doc_id": "b", "text": "t"}), "b")
+        both = left.join(whole.withColumnsRenamed({"doc_id": "a", "text": "s"}), "a").select("a", "b", "s", "t")
+        out = self.scratch.table(both.mapInArrow(tidied(compare), "a long, b long, n_a long, n_b long, common long").distinct())
+        shared.unpersist()
         self.scratch.drop(whole, pairs)
         return out
 
