@@ -5,6 +5,8 @@ import pytest
 
 from tallyframe.llm.substrings import deduplicate
 
+from .test_common import thue_morse
+
 
 def brute(rows, size):
     """{doc_id: (n_words, n_removed, kept)} by a dictionary of all windows."""
@@ -60,6 +62,24 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert sorted((r.start, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 60)]
 
 
+def test_windows_that_polynomial_hashes_take_for_one(spark):
+    one, other = thue_morse(1024)
+    same = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{other} {same}"), (4, f"{one} {same} {one}")]
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 50)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
+    assert want[2][1] == 0 and want[4][1] == 50
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10_000)}" for _ in range(300_000))
+    rows = [(1, long), (2, "x " + long[: len(long) // 2]), (3, "z" * 3_000_000), (4, " ".join(["z" * 100_000] * 60))]
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute(rows, 50)
+
+
 def test_empty_table(spark):
     assert deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
