@@ -26,6 +26,10 @@ from .common import map_text
 UNSAFE = re.compile(r" (?=\s|$)")
 
 
+#: Bytes of a piece whose matches are held at once.
+BLOCK = 4096
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file."""
     with open(path, "rb") as f:
@@ -85,6 +89,26 @@ class Chunks:
         return out
 
 
+class Matches:
+    """The vocabulary entries (size, id) at each place of a piece, the shortest first, found block by block as they are asked for."""
+
+    def __init__(self, encoder: BytePairEncoder, piece: bytes):
+        self.found, self.reach, self.text = encoder.found, int(encoder.sizes.max()), piece.decode("latin-1")
+        self.block, self.rows = -1, []
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        if at // BLOCK != self.block:
+            self.block = at // BLOCK
+            low = self.block * BLOCK
+            high = min(low + BLOCK, len(self.text))
+            self.rows = [[] for _ in range(high - low)]
+            for end, match in self.found.iter(self.text, low, min(high + self.reach, len(self.text))):
+                place = end + 1 - match[0] - low
+                if place < len(self.rows):
+                    self.rows[place].append(match)
+        return self.rows[at % BLOCK]
+
+
 class BytePairEncoder:
     """Encoder and decoder for a rank table and a split pattern; special tokens are ordinary text."""
 
@@ -162,9 +186,7 @@ class BytePairEncoder:
         if whole is not None:
             return [whole]
         n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.found.iter(piece.decode("latin-1")):
-            starts[end + 1 - match[0]].append(match)  # the shortest first
+        starts = Matches(self, piece)
         out: list[int] = []
         back: list[int] = []  # how many matches are left to try at the start of each id in out
         at, left, dead, fit = 0, len(starts[0]), bytearray(n + 1), self._fit

@@ -7,16 +7,16 @@ so that many run side by side, and a document's probabilities are the mean over
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, slices, small_batches, tidied
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -142,7 +142,7 @@ class Network:
         return logits.sum(0) if alive is None else (logits * alive[:, :, None]).sum(0)
 
 
-def train(texts: list[str], labels: list[str], hidden: int | None = None, steps: int | None = None, rows: int = 96, width: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+def train(texts: list[str | bytes], labels: list[str], hidden: int | None = None, steps: int | None = None, rows: int = 96, width: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
     """Fit on random windows of the texts, every label as often as any other, by Adam with a falling rate.
 
     Unless given, hidden units and steps grow with the root of the number of labels: 8 and 250 at four of them.
@@ -152,7 +152,7 @@ def train(texts: list[str], labels: list[str], hidden: int | None = None, steps:
     hidden, steps = hidden or 4 * root, steps or 125 * root
     net, raw = Network(names, hidden), {n: [] for n in names}
     for t, n in zip(texts, labels, strict=True):
-        raw[n].append(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
+        raw[n].append(np.frombuffer(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass"), np.uint8))
     once = max(1, min(rows, (1 << 22) // (width * max(1, len(names)))))  # rows whose probabilities are held at once
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for step in range(1, steps + 1 if len(names) > 1 else 1):
@@ -195,25 +195,51 @@ def probabilities(net: Network, texts: list[str | None], width: int = 128, toget
     return out / np.maximum(size, 1)[:, None]
 
 
-def fit(docs: DataFrame, each: int = 400, longest: int = 4_000, most: int = 102_400_000) -> Network | None:
-    """Learn every language of the training documents, from at most ``each`` documents of each one.
+def drawn(known: DataFrame, share: dict[str, float], each: int, width: int) -> DataFrame:
+    """lang, h, doc_id and windows: ``each`` windows of ``width`` bytes, strung together, from anywhere in the whole text of a chosen row.
 
-    The documents are chosen by a hash of the id; of a longer one a stretch of ``longest`` characters is learnt from.
-    No language is left out: where there are so many that all of this would come to more than ``most`` characters, the
-    stretches become shorter, down to 256 characters, and then the documents of each language fewer, down to one.
-    Held-out rows, rows without a language, and texts without a letter take no part. None if nothing is left.
+    A row (doc_id, lang, h, text) is chosen if the hash h of its id lies in its language's share of all hashes.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    share = most // max(1, known.agg(F.count_distinct("lang")).first()[0])
-    longest = min(longest, max(256, share // each))
-    each = min(each, max(1, share // longest))
-    # The ids first, so that only chosen texts travel.
-    chosen = known.select("doc_id", "lang", F.xxhash64("text").alias("t"))
-    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))).where(F.col("n") <= each).select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {longest // 2}), {longest})").alias("text"), "lang").orderBy("lang", "doc_id", "text").toArrow()
-    if not rows.num_rows:
-        return None
-    return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+
+    def run(batches):
+        for batch in batches:
+            ids, lang, h = (batch.column(i).to_pylist() for i in range(3))
+            chosen = [i for i in range(batch.num_rows) if (h[i] + (1 << 63)) / 2**64 < share.get(lang[i], 0)]
+            windows = []
+            for i in chosen:
+                own = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint8)
+                at = np.random.default_rng(h[i] & 0xFFFFFFFFFFFFFFFF).integers(max(1, len(own) - width + 1), size=each)
+                windows.append(b"".join(own[a : a + width].tobytes().ljust(width) for a in at))
+            if chosen:
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang[i] for i in chosen]), "h": pa.array([h[i] for i in chosen]), "doc_id": pa.array([ids[i] for i in chosen]), "windows": pa.array(windows, pa.binary())})
+
+    return known.select("doc_id", "lang", "h", "text").mapInArrow(tidied(run), "lang string, h long, doc_id long, windows binary")
+
+
+def fit(docs: DataFrame, each: int = 400, windows: int = 16, width: int = 64, most: int = 1_600_000) -> Network | None:
+    """Learn every language of the training documents, from ``windows`` stretches of at most ``each`` documents of each one.
+
+    The documents are chosen by a hash of the id, the stretches anywhere in their whole texts, on the executors. No language is left
+    out: where there are so many that all of this would come to more than ``most`` stretches of ``width`` bytes, there are
+    fewer of each document, and then fewer documents of each language, down to one. Held-out rows, rows without a language,
+    and texts without a letter take no part; rows that repeat an id and language count as one. None if nothing is left.
+    """
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
+    # One number for each language; the network has a column of weights for each of them anyway.
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    room = max(1, most // max(1, len(sizes)))
+    windows = max(1, min(windows, room // each))
+    each = max(1, min(each, room // windows))
+    with small_batches(docs.sparkSession):
+        some = drawn(known, {lang: 2 * each / max(n, 1) for lang, n in sizes.items()}, windows, width).dropDuplicates(["lang", "doc_id"]).toArrow()
+    texts, labels, held = [], [], {}
+    for r in some.sort_by([("lang", "ascending"), ("h", "ascending"), ("doc_id", "ascending")]).to_pylist():
+        held[r["lang"]] = held.get(r["lang"], 0) + 1
+        if held[r["lang"]] <= each:
+            texts += [r["windows"][at : at + width] for at in range(0, len(r["windows"]), width)]
+            labels += [r["lang"]] * windows
+    return train(texts, labels, width=width) if texts else None
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -238,7 +264,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     scores[lettered] = np.minimum(p.max(1), 1.0)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(scores)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def detect(docs: DataFrame, **options) -> DataFrame:

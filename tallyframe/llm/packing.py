@@ -8,6 +8,7 @@ long sequence; the second pass cuts that at fixed windows and records each piece
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -19,10 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, tidied
 
 #: The split of byte-level vocabularies (a fixed value of their format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space so long goes to the slower library, well before the faster one's limit of about a million.
+BLANK = 100_000
+WIDE = re.compile(r"\s{%d}" % BLANK)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,20 +62,37 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
     """Ids of a text by a ``tokenizers`` file, no special tokens added; a Python worker keeps it.
 
     A plain byte-level file is run by the faster tiktoken library over the file's own vocabulary; the ids are the
-    same (the tests compare the two libraries), and so are special tokens spelt out in a text.
+    same (the tests compare the two libraries), and so are special tokens spelt out in a text. That library
+    can't split very long runs of white space: a text with such a run, and any that it fails on, goes to the ``tokenizers`` library.
     """
     from tokenizers import Tokenizer
 
+    @lru_cache(maxsize=1)
+    def library() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
+    def slow(text: str) -> list[int]:
+        return library().encode(text, add_special_tokens=False).ids
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    if ranks := byte_ranks(spec):
-        import tiktoken
+    ranks = byte_ranks(spec)
+    if not ranks:
+        return slow
+    import tiktoken
+
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+    fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if len(text) > BLANK and WIDE.search(text):
+            return slow(text)
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return slow(text)
 
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
-        fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode(text, allowed_special="all")
-    slow = Tokenizer.from_file(path)
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
+    return encode
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -92,7 +113,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
                     place += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, place long, doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "part int, place long, doc_id long, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFrame:
@@ -131,4 +152,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFram
                 columns = [rows.column(2).take(pa.array(row)), start, length, pa.array(crc, pa.int64()), n[row], sequence, begin - sequence * size]
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return stored.mapInArrow(cut, PIECES)
+    return stored.mapInArrow(tidied(cut), PIECES)

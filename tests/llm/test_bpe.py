@@ -34,6 +34,19 @@ def test_every_entry_and_neighbour_fits_plain_merging():
         assert e._fit(a, b) == (e.merge(e.vocab[a] + e.vocab[b]) == [a, b])
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 300_000 + "b", "\n" * 300_000, "ab" * 50_000, "q" * 9000 + " \n" * 9000])
+def test_very_long_runs(text):
+    """The library stops at such runs, so plain facts are checked: ids decode to the text, and neighbours fit."""
+    e = encoder(PATHS[0], P.PATTERN)
+    ids = e.encode(text)
+    assert e.decode(ids) == text.encode()
+    pieces = e.split(text)
+    assert sum(len(e.piece(p.encode())) for p in pieces) == len(ids)
+    for p in set(pieces):
+        own = e.piece(p.encode())
+        assert all(e._fit(a, b) for a, b in set(zip(own, own[1:], strict=False)))
+
+
 def test_remembers_only_so_much():
     r = Recent(10)
     for i in range(100):

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tallyframe.llm.language_id import Network, detect, probabilities, train
+from tallyframe.llm.language_id import Network, detect, fit, identify, probabilities, train
 
 
 def test_gradients_equal_differences():
@@ -42,17 +42,30 @@ def test_use_equals_training_form_and_windows_pool_all_bytes():
 
 def test_odd_rows(spark):
     rows = [(i, ["the house is here and there", "das haus ist hier und dort"][i % 2] * 3, ["en", "de"][i % 2], i) for i in range(60)]
-    rows += [(90, None, "en", 0), (91, "", "de", 0), (92, "123 !?", "en", 0), (93, "the house is there", None, 0), (None, "das haus ist dort", "de", 0), (94, "die " * 40_000, "de", 0)]
+    rows += [(90, None, "en", 0), (91, "", "de", 0), (92, "123 !?", "en", 0), (93, "the house is there", None, 0), (None, "das haus ist dort", "de", 0), (94, "die " * 40_000, "de", 0), (95, "½ ² 1 Ⅷ", "en", 0), (96, "日", None, 0)]
     got = detect(spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (90, 91, 92))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (90, 91, 92, 95))
+    assert by[96].lang_pred != "und"
     assert by[93].lang_pred == "en" and by[None].lang_pred == "de" and by[94].lang_pred == "de" and by[None].held_out
     assert all(by[i].lang_pred == ["en", "de"][i % 2] for i in range(60))
     assert detect(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
     assert detect(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()[0].lang_pred == "und"
 
 
+def test_windows_come_from_whole_texts_and_repeats_count_once(spark):
+    """A language told by the ends of its texts only, and one that is a single id in thousands of rows."""
+    start = "0123 " * 3000
+    rows = [(i, start + ["the house is here and there ", "das haus ist hier und dort "][i % 2] * 400, ["en", "de"][i % 2]) for i in range(40)]
+    rows += [(1001, "la maison est ici et la table aussi " * 20, "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = fit(df, each=20)
+    assert net.labels == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in identify(df.distinct(), net).collect()}
+    assert sum(got[i] == ["en", "de"][i % 2] for i in range(40)) >= 36 and got[1001] == "fr"
+
+
 def test_more_than_64_languages_are_all_learnt(spark):
     """Each language has words of its own; the rarest come last by count and are told apart like the others."""
     rng, rows = np.random.default_rng(4), []

@@ -68,6 +68,19 @@ def test_both_libraries_agree_on_every_character(library):
             assert fast(text) == library(text), hex(block)
 
 
+LONG = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "é" * 1_500_000, " \u00a0" * 600_000 + "x", "-" * 2_000_000, "7" * 1_200_000, "word " * 400_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_very_long_runs(library, text):
+    assert tokenizer(PATH)(text) == library(text)
+
+
+def test_very_long_texts_are_packed(spark, library):
+    rows = list(enumerate(LONG[:2]))
+    check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), library, 1024)
+
+
 def test_query_on_the_small_tables(spark, library):
     from tallyframe.llm.queries import op8_packing
 

@@ -32,6 +32,21 @@ def texts(seed):
     return out
 
 
+def test_texts_with_more_words_than_a_place_holds(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PLACE", 3)
+    rows = list(enumerate(texts(2)))
+    for r in Q.measures(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.n_repeat_words == brute(rows[r.doc_id][1])["n_repeat_words"]
+
+
+def test_variety_looks_at_long_texts_too(spark):
+    rng = random.Random(3)
+    few, many = (" ".join(f"w{rng.randrange(n)}" for _ in range(30_000)) for n in (60, 20_000))
+    votes = {r.doc_id: r.votes for r in Q.judge(spark.createDataFrame([(1, few), (2, many)], "doc_id long, text string")).collect()}
+    at = list(Q.rules()).index("variety")
+    assert votes[1][at] == -1 and votes[2][at] >= 0
+
+
 def test_measures_equal_brute_force(spark):
     rows = list(enumerate(texts(1)))
     got = Q.measures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
