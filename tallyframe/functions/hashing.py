@@ -39,6 +39,27 @@ def murmur_long(x: str, dialect: str = "spark") -> str:
     return fold(times(fold(xor(times(low), high, dialect), 13)), 15)
 
 
+def murmur_column(x: Column) -> Column:
+    """``murmur_long`` as a column, without a text to parse."""
+
+    def times(v: Column) -> Column:
+        return (v * M32).bitwiseAND(F.lit(W32))
+
+    def fold(v: Column, n: int) -> Column:
+        return v.bitwiseXOR(F.shiftright(v, n))
+
+    x = x.cast("bigint")
+    low = times(fold(times(x.bitwiseAND(F.lit(W32))), 24))
+    high = times(fold(times(F.shiftright(x, 32).bitwiseAND(F.lit(W32))), 24))
+    return fold(times(fold(times(low).bitwiseXOR(high), 13)), 15)
+
+
+def bucket_column(one: Column, two: Column, count: int, size: int) -> Column:
+    """``buckets`` as one array."""
+    wrap = lambda v: v.bitwiseAND(F.lit(W32)) - F.shiftleft(v.bitwiseAND(F.lit(1 << 31)), 1)
+    return F.array(*(F.abs(wrap(one + two * i)) % size for i in range(count)))
+
+
 def md5_bits(s: str, bits: int, dialect: str = "spark") -> str:
     """SQL: the first ``bits`` (at most 60, a multiple of 4) of the MD5 of a value's string form, as an integer."""
     text = f"substring(md5(cast({s} as {'varchar' if dialect == 'duckdb' else 'string'})), 1, {bits // 4})"
@@ -89,6 +110,46 @@ def murmur64(data: bytes, seed: int = SEED64) -> int:
     return _signed(h ^ h >> 47, 64)
 
 
+def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all values with eight more, where each begins, and how many it has."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    return np.frombuffer(b"".join([*values, bytes(8)]), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def murmur32_all(values: list[bytes], seeds: np.ndarray | int = W32) -> np.ndarray:
+    """``murmur32`` of many values at once; a seed for all or one for each."""
+    data, starts, sizes = _joined(values)
+    words, m = np.ndarray(len(data) - 7, "<u4", data.data, 0, (1,)), np.uint32(M32)
+    h = (np.broadcast_to(np.asarray(seeds, np.int64), len(values)) & W32).astype(np.uint32) ^ sizes.astype(np.uint32)
+    for at in range(0, int(sizes.max(initial=0)) // 4 * 4, 4):
+        live = np.flatnonzero(sizes >= at + 4)
+        k = words[starts[live] + at] * m
+        h[live] = (h[live] * m) ^ ((k ^ k >> np.uint32(24)) * m)
+    end, last = sizes % 4, starts + sizes // 4 * 4
+    for i in range(3):
+        live = np.flatnonzero(end > i)
+        h[live] ^= (data[last[live] + i].view(np.int8).astype(np.int64) << 8 * (end[live] - 1 - i) & W32).astype(np.uint32)
+    h[end > 0] *= m
+    h = (h ^ h >> np.uint32(13)) * m
+    return (h ^ h >> np.uint32(15)).view(np.int32)
+
+
+def murmur64_all(values: list[bytes], seed: int = SEED64) -> np.ndarray:
+    """``murmur64`` of many values at once."""
+    data, starts, sizes = _joined(values)
+    words, m, far = np.ndarray(len(data) - 7, "<u8", data.data, 0, (1,)), np.uint64(M64), np.uint64(47)
+    h = np.uint64(seed & W32) ^ sizes.astype(np.uint64) * m
+    for at in range(0, int(sizes.max(initial=0)) // 8 * 8, 8):
+        live = np.flatnonzero(sizes >= at + 8)
+        k = words[starts[live] + at] * m
+        h[live] = (h[live] ^ (k ^ k >> far) * m) * m
+    live = np.flatnonzero(sizes % 8)
+    rest = words[starts[live] + sizes[live] // 8 * 8] & np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)[sizes[live] % 8]
+    h[live] = (h[live] ^ rest) * m
+    h = (h ^ h >> far) * m
+    return (h ^ h >> far).view(np.int64)
+
+
 def murmur_long_value(x: int) -> int:
     """The signed 32-bit hash of a Python integer, as ``murmur_long`` gives it unsigned."""
     low, high = x & W32, x >> 32 & W32
@@ -162,25 +223,23 @@ def lookup3_text64(text: str, seed: int = -1) -> int:
     return _signed(_signed(c, 32) + (b << 32) & W64, 64)
 
 
+def _bytes(v: str | bytes) -> bytes:
+    return v if isinstance(v, bytes) else v.encode()
+
+
 def _column(name: str, kind: str):
-    functions = {
-        "murmur32": lambda v: murmur32(v if isinstance(v, bytes) else v.encode()),
-        "murmur64": lambda v: murmur64(v if isinstance(v, bytes) else v.encode()),
-        "lookup3_text": lookup3_text,
-        "lookup3_text64": lookup3_text64,
-    }
+    one_by_one = {"lookup3_text": lookup3_text, "lookup3_text64": lookup3_text64}
+    together = {"murmur32": murmur32_all, "murmur64": murmur64_all}
 
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
-        f, seen = functions[name], {}
-        out = []
-        for v in values:
-            if v is None:
-                out.append(0)  # as the hash of a missing item
-                continue
-            if v not in seen:
-                seen[v] = f(v)
-            out.append(seen[v])
+        codes, different = pd.factorize(values)  # -1 for a missing item
+        if name in together:
+            found = together[name]([_bytes(v) for v in different])
+        else:
+            found = np.array([one_by_one[name](v) for v in different], np.int64)
+        # The hash of a missing item is 0.
+        out = np.append(found, 0)[codes]
         return pd.Series(out, dtype="int64" if kind == "long" else "int32")
 
     return run
@@ -203,6 +262,28 @@ def bucket_values(key: str | bytes, count: int, size: int) -> list[int]:
     return out
 
 
+def bucket_table(keys: list[str | bytes], count: int, size: int) -> np.ndarray:
+    """``bucket_values`` of many keys at once, a row for each."""
+    data = [k if isinstance(k, bytes) else b"\xfe\xff" + k.encode("utf-16-be", "surrogatepass") for k in keys]
+    one = murmur32_all(data, 0)
+    two = murmur32_all(data, one)
+    with np.errstate(over="ignore"):
+        v = one[:, None] + np.arange(count, dtype=np.int32) * two[:, None]
+    return np.abs(v.astype(np.int64)) % size
+
+
+def bucket_rows(column: Column, count: int, size: int) -> Column:
+    """The positions of a string or binary column's keys as arrays, hashed by whole Arrow batches."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(values: pd.Series) -> pd.Series:
+        codes, different = pd.factorize(values)
+        found = list(bucket_table(list(different), count, size))
+        return pd.Series([found[c] if c >= 0 else None for c in codes.tolist()], dtype=object)
+
+    return run(column)
+
+
 def buckets(one: str, two: str, count: int, size: int, dialect: str = "spark") -> list[str]:
     """SQL: positions below ``size`` from two unsigned 32-bit hashes, wrapped to signed as 32-bit arithmetic does."""
     wrap = lambda v: f"((({v}) & {W32}) - ((({v}) & 2147483648) << 1))"

@@ -194,42 +194,38 @@ def improved_estimate(s: Sketch, bits: int = 60) -> DataFrame:
 
 
 def count_then_estimate(df: DataFrame, column: str, tipping: int = 1000, p: int = 14, by: tuple[str, ...] = (), strategy: str | None = None) -> tuple[Sketch, Sketch]:
-    """Items and registers: the items are kept for groups of at most ``tipping`` different ones.
+    """Items and registers. Items: (by..., item, tipped); a group of more than ``tipping`` different ones has
+    one row without an item, marked as tipped.
 
     Items are first made distinct, so that both sides come from one aggregate.
     """
     item = F.col(column).cast("string").alias("item")
     distinct = df.where(F.col(column).isNotNull()).select(*by, item, F.col(column).alias("value")).distinct()
-    size = distinct.groupBy(*by).agg(F.count("*").alias("size"))
-    small = size.where(F.col("size") <= tipping).drop("size")
-    kept = distinct.join(small, list(by), "left_semi") if by else distinct.limit(tipping + 1)
-    return (
-        Sketch(kept.select(*by, "item"), "items", (tipping,), by),
-        hyperloglog(distinct.select(*by, "value"), "value", p, by, strategy),
-    )
+    items = _settled(distinct.select(*by, "item", F.lit(False).alias("tipped")), tipping, by)
+    return Sketch(items, "items", (tipping,), by), hyperloglog(distinct.select(*by, "value"), "value", p, by, strategy)
+
+
+def _settled(rows: DataFrame, tipping: int, by: tuple[str, ...]) -> DataFrame:
+    """Distinct (by..., item, tipped) rows, where a group that tipped, now or before, keeps its mark only."""
+    over = rows.groupBy(*by).agg((F.coalesce(F.max("tipped"), F.lit(False)) | (F.count("item") > tipping)).alias("over"))
+    kept = rows.join(over.where("not over"), list(by), "left_semi") if by else rows.join(F.broadcast(over.where("not over"))).drop("over")  # one row
+    mark = over.where("over").select(*by, F.lit(None).cast("string").alias("item"), F.lit(True).alias("tipped"))
+    return kept.unionByName(mark)
 
 
 def count_then_estimate_merge(first: tuple[Sketch, Sketch], *others: tuple[Sketch, Sketch]) -> tuple[Sketch, Sketch]:
-    """Items of all sides are put together, registers merged; a side that tipped already leaves only registers."""
+    """Items of all sides are put together, registers merged. A group tips if one of its sides has, or if all items are too many."""
     items = first[0].union(*(o[0] for o in others)).distinct()
-    return first[0].with_rows(items), register_merge(first[1], *(o[1] for o in others))
+    return first[0].with_rows(_settled(items, first[0].params[0], first[0].by)), register_merge(first[1], *(o[1] for o in others))
 
 
 def count_then_estimate_estimate(pair: tuple[Sketch, Sketch]) -> DataFrame:
-    """by..., tipped, estimate: exact while a group has kept all of its items.
-
-    A group tipped if its items exceed the tipping point, or if its registers saw more than its items do.
-    """
+    """by..., tipped, estimate: exact for a group that has not tipped."""
     items, regs = pair
-    tipping = items.params[0]
-    n = items.rows.groupBy(*items.by).agg(F.count("*").alias("n"))
+    n = items.rows.groupBy(*items.by).agg(F.count("item").alias("n"), F.coalesce(F.max("tipped"), F.lit(False)).alias("tipped"))
     e = estimate(regs)
-    joined = e.join(n, list(items.by), "left") if items.by else e.crossJoin(F.broadcast(n))  # one row each
-    exact = F.coalesce("n", F.lit(0))
-    # Registers of t items say at most about t; three standard errors above what is kept, some are missing.
-    slack = 1 + 3 * 1.04 / 2 ** (regs.params[0] / 2)
-    tipped = (exact > tipping) | (F.col("estimate") > exact * slack + 2)
-    return joined.select(*items.by, tipped.alias("tipped"), F.when(tipped, F.col("estimate")).otherwise(exact).alias("estimate"))
+    joined = e.join(n, list(items.by)) if items.by else e.crossJoin(F.broadcast(n))  # one row each
+    return joined.select(*items.by, "tipped", F.when(F.col("tipped"), F.col("estimate")).otherwise(F.col("n")).alias("estimate"))
 
 
 # --- order-dependent, experimental
@@ -272,5 +268,5 @@ def hyperbitbit(df: DataFrame, column: str, order: list[str], by: tuple[str, ...
         return pa.RecordBatch.from_pydict({**{n: [v] for n, v in zip(names, key, strict=True)}, "lg": pa.array([state[0]], pa.int32()), "estimate": pa.array([value], pa.int64())})
 
     kinds = dict(df.dtypes)
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order) if by else rows.coalesce(1).sortWithinPartitions(*order)
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order) if by else rows.repartition(1).sortWithinPartitions(*order)
     return dealt.mapInArrow(fold, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "lg int", "estimate long"]))

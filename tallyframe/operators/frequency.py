@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_values, java_random_ints, linear_bucket
+from ..functions.hashing import bucket_rows, java_random_ints, linear_bucket
 from ..functions.sizing import CountMin
 from .relation import Sketch
 
@@ -17,26 +17,17 @@ def bucket_array(column: str, params: CountMin, kind: str = "long") -> Column:
     if kind == "long":
         factors = java_random_ints(params.seed, params.depth)
         return F.array(*(F.expr(linear_bucket(f"`{column}`", a, params.width)) for a in factors))
-    depth, width = params.depth, params.width
-
-    @F.pandas_udf("array<bigint>")
-    def run(values):
-        import pandas as pd
-
-        seen = {v: bucket_values(v, depth, width) for v in set(values) if v is not None}
-        return pd.Series([seen.get(v) for v in values])
-
-    return run(F.col(column).cast("string"))
+    return bucket_rows(F.col(column).cast("string"), params.depth, params.width)
 
 
 def count_min(df: DataFrame, item: str, params: CountMin, weight: str | None = None, by: tuple[str, ...] = (), kind: str = "long") -> Sketch:
     """Rows (by..., row, bucket, total). A negative weight fails the query; null items are no items.
 
-    Items are summed first, so that each distinct item is hashed once.
+    Rows are hashed where they are and summed by cell before the one shuffle, so that at most depth x width cells of each partition and group travel.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     safe = F.when(w < 0, F.raise_error(F.lit("negative increments are not implemented")).cast("bigint")).otherwise(w.cast("bigint"))
-    items = df.where(F.col(item).isNotNull()).select(*by, F.col(item).alias("item"), safe.alias("w")).groupBy(*by, "item").agg(F.sum("w").alias("w"))
+    items = df.where(F.col(item).isNotNull()).select(*by, F.col(item).alias("item"), safe.alias("w"))
     cells = items.select(*by, "w", F.posexplode(bucket_array("item", params, kind)).alias("row", "bucket"))
     return Sketch(cells.groupBy(*by, "row", "bucket").agg(F.sum("w").alias("total")), "count_min", (params.depth, params.width, params.seed, kind), by)
 
@@ -67,7 +58,7 @@ def conservative(df: DataFrame, item: str, params: CountMin, weight: str | None
     """
     w = F.lit(1) if weight is None else F.col(weight)
     items = df.where(F.col(item).isNotNull()).groupBy(F.col(item).cast("bigint").alias("item")).agg(F.sum(w.cast("bigint")).alias("w"))
-    dealt = items.select("item", "w", bucket_array("item", params).alias("at")).coalesce(1).sortWithinPartitions(F.desc("w"), "item")
+    dealt = items.select("item", "w", bucket_array("item", params).alias("at")).repartition(1).sortWithinPartitions(F.desc("w"), "item")
     depth, width = params.depth, params.width
 
     def fold(batches):

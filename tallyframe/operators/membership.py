@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_values, buckets, murmur_long
+from ..functions.hashing import bucket_column, bucket_rows, murmur_column
 from ..functions.sizing import Bloom, false_positive_rate
 from .relation import Sketch
 
+#: A filter of at most so many bits (a million rows of 16 bytes) is broadcast to its probes.
+BROADCAST_BITS = 1 << 26
 
-def positions(column: str, params: Bloom, kind: str = "long"):
-    """The bits of a key: integers by two arithmetic hashes, texts and bytes by two hashes of their bytes."""
-    if kind == "long":
-        one = murmur_long(f"`{column}`")
-        two = murmur_long(f"({one} + 1)")
-        return F.array(*(F.expr(b).cast("bigint") for b in buckets(one, two, params.hashes, params.bits)))
-    hashes, bits = params.hashes, params.bits
 
-    @F.pandas_udf("array<bigint>")
-    def run(values):
-        import pandas as pd
+def with_positions(df: DataFrame, key: str, params: Bloom, kind: str = "long", alias: str = "positions") -> DataFrame:
+    """``df`` with the array of a key's bits: integers by two arithmetic hashes, texts and bytes by two hashes of their bytes.
 
-        seen = {v: bucket_values(v, hashes, bits) for v in set(values) if v is not None}
-        return pd.Series([seen.get(v) for v in values])
-
-    return run(F.col(column))
+    The two hashes are columns of their own, so that each bit only adds an expression of fixed size.
+    """
+    if kind != "long":
+        return df.withColumn(alias, bucket_rows(F.col(key), params.hashes, params.bits))
+    two = df.withColumn("__one", murmur_column(F.col(key))).withColumn("__two", murmur_column(F.col("__one") + 1))
+    return two.withColumn(alias, bucket_column(F.col("__one"), F.col("__two"), params.hashes, params.bits)).drop("__one", "__two")
 
 
 def bloom(df: DataFrame, key: str, params: Bloom, by: tuple[str, ...] = (), kind: str = "long") -> Sketch:
     """Rows (by..., word, mask): 64 bits a row."""
-    bits = df.where(F.col(key).isNotNull()).select(*by, F.explode(positions(key, params, kind)).alias("bit"))
+    keys = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("__key"))
+    # explode() would let the optimizer infer a filter on the positions and write both hashes out in it once for each use.
+    bits = with_positions(keys, "__key", params, kind).select(*by, F.explode_outer("positions").alias("bit"))
     return Sketch(_packed(bits, by), "bloom", (params.bits, params.hashes, kind), by)
 
 
@@ -50,19 +48,38 @@ def merge(first: Sketch, *others: Sketch) -> Sketch:
 def probe(s: Sketch, df: DataFrame, key: str, alias: str = "present") -> DataFrame:
     """The rows of ``df`` with a boolean: whether the filter may hold the key (null: not).
 
-    Each distinct key looks up its words by a join, so the filter needs to fit nowhere as a whole.
+    A filter of at most BROADCAST_BITS is broadcast, and each row looks up its bits where it is. A larger one needs to fit
+    nowhere as a whole: each distinct key looks up its words by a join.
     """
     if s.by:
         raise ValueError("probe takes an ungrouped filter")
-    params = Bloom(*s.params[:2])
-    asked = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    bits = asked.select("key", F.explode(F.array_distinct(positions("key", params, s.params[2]))).alias("bit"))
+    params, kind = Bloom(*s.params[:2]), s.params[2]
+    if params.bits <= BROADCAST_BITS:
+        return _probed_in_place(s, df, key, params, kind, alias)
+    asked = with_positions(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct(), "key", params, kind)
+    bits = asked.select("key", F.explode_outer(F.array_distinct("positions")).alias("bit"))
     hit = bits.join(s.rows, F.shiftright("bit", 6) == F.col("word"), "left")
-    on = F.expr("coalesce(shiftrightunsigned(mask, cast(bit & 63 as int)) & 1, 0)")
-    verdict = hit.groupBy("key").agg((F.min(on) == 1).alias(alias))
+    verdict = hit.groupBy("key").agg(F.min(_on("mask", F.col("bit"))).alias(alias))
     return df.join(verdict, df[key] == verdict["key"], "left").drop(verdict["key"]).withColumn(alias, F.coalesce(alias, F.lit(False)))
 
 
+def _on(mask: str, bit: Column) -> Column:
+    """Whether a word, or nothing, has a bit on."""
+    return F.coalesce(F.getbit(F.col(mask), bit.bitwiseAND(63).cast("int")), F.lit(0)) == 1
+
+
+def _probed_in_place(s: Sketch, df: DataFrame, key: str, params: Bloom, kind: str, alias: str) -> DataFrame:
+    """One lookup in the broadcast words for each hash function; no row moves."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")  # apart, so that no column's name clashes
+    found = with_positions(df.select(row, F.col(key).alias("__key")), "__key", params, kind, "__at").withColumns({f"__b{i}": F.col("__at")[i] for i in range(params.hashes)})
+    held = F.col("__key").isNotNull()
+    for i in range(params.hashes):
+        words = F.broadcast(s.rows.select(F.col("word").alias(f"__w{i}"), F.col("mask").alias(f"__m{i}")))
+        found = found.join(words, F.shiftright(f"__b{i}", 6) == F.col(f"__w{i}"), "left")
+        held = held & _on(f"__m{i}", F.col(f"__b{i}"))
+    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns if c != alias), held.alias(alias))
+
+
 def semi(s: Sketch, df: DataFrame, key: str) -> DataFrame:
     """Rows whose key the filter may hold."""
     return probe(s, df, key, "__present").where("__present").drop("__present")

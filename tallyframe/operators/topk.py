@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import STRATEGIES
 from .relation import Sketch
 
 
@@ -68,12 +69,13 @@ class Counters:
         return [(i, c, e) for i, (c, e, at) in sorted(self.held.items(), key=lambda x: (-x[1][0], x[1][2]))[:k]]
 
 
-def space_saving(df: DataFrame, item: str, capacity: int, weight: str | None = None) -> Sketch:
+def space_saving(df: DataFrame, item: str, capacity: int, weight: str | None = None, one_by_one: bool = False) -> Sketch:
     """Rows (item, count, error, least): at most ``capacity`` counters of each partition, merged to one set of them.
 
     count - error <= true weight <= count, and every item with more than the whole weight / capacity is held. An item that a
     partition let go may have had ``least``, the smallest count there, and no more; so the merge adds the
-    partitions' least counts to those of items that they don't hold.
+    partitions' least counts to those of items that they don't hold. Equal items of a batch are summed before they are
+    offered; ``one_by_one`` offers each row in the partition's order instead.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -83,7 +85,8 @@ def space_saving(df: DataFrame, item: str, capacity: int, weight: str | None = N
     def run(batches):
         own = Counters(capacity)
         for batch in batches:
-            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums = batch.to_pydict() if one_by_one else pa.table(batch.columns, ["item", "w"]).group_by("item", use_threads=False).aggregate([("w", "sum")]).rename_columns(["item", "w"]).to_pydict()
+            for i, n in zip(sums["item"], sums["w"], strict=True):
                 own.offer(i, n)
         rows = own.top(capacity)
         least = min(r[1] for r in rows) if len(rows) == capacity else 0
@@ -134,7 +137,7 @@ def offered(df: DataFrame, item: str, order: list[str], capacity: int, weight: s
     """
     kinds = dict(df.dtypes)
     w = F.lit(1) if weight is None else F.col(weight)
-    rows = df.where(F.col(item).isNotNull()).select(*order, F.col(item).alias("item"), w.cast("bigint").alias("w")).coalesce(1).sortWithinPartitions(*order)
+    rows = df.where(F.col(item).isNotNull()).select(*order, F.col(item).alias("item"), w.cast("bigint").alias("w")).repartition(1).sortWithinPartitions(*order)
 
     def run(batches):
         own = Counters(capacity)
@@ -149,21 +152,21 @@ def offered(df: DataFrame, item: str, order: list[str], capacity: int, weight: s
 # --- samples
 
 
-def reservoir(df: DataFrame, key: str, size: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def reservoir(df: DataFrame, key: str, size: int, seed: int = 0, by: tuple[str, ...] = (), strategy: str = "xxhash_60") -> DataFrame:
     """A uniform sample of ``size`` rows (of each group): those with the smallest hash of a unique key and the seed.
 
     The same rows give the same sample in any order, and samples merge by taking the smallest again.
     """
-    place = F.xxhash64(F.lit(seed), F.col(key))
+    place = F.expr(STRATEGIES[strategy][1](f"concat('{seed}-', `{key}`)", "spark"))
     if not by:
         return df.orderBy(place, key).limit(size)
     order = Window.partitionBy(*by).orderBy(place, key)
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
 
 
-def stochastic_top(df: DataFrame, item: str, key: str, size: int, k: int, seed: int = 0) -> DataFrame:
+def stochastic_top(df: DataFrame, item: str, key: str, size: int, k: int, seed: int = 0, strategy: str = "xxhash_60") -> DataFrame:
     """item, count: the k commonest items of a reservoir sample."""
-    return top(counted(reservoir(df.where(F.col(item).isNotNull()), key, size, seed), item), k)
+    return top(counted(reservoir(df.where(F.col(item).isNotNull()), key, size, seed, (), strategy), item), k)
 
 
 def sample_set(df: DataFrame, item: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:

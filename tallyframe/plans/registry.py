@@ -25,10 +25,14 @@ _ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import exact  # noqa: F401 - adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import exact  # noqa: F401 - adds its SQL
+
     return dict(_ORACLES)
 
 
@@ -253,9 +257,8 @@ BLOOM = sizing.Bloom.per_element(4000, 8)
 
 
 def _bits_sql(table: str, key: str, params: sizing.Bloom) -> str:
-    one = murmur_long(key, "duckdb")
-    two = murmur_long(f"({one} + 1)", "duckdb")
-    return " union all ".join(f"select {key} as key, {b} as bit from {table} where {key} is not null" for b in buckets(one, two, params.hashes, params.bits, "duckdb"))
+    hashed = f"select key, one, {murmur_long('(one + 1)', 'duckdb')} as two from (select {key} as key, {murmur_long(key, 'duckdb')} as one from {table} where {key} is not null)"
+    return " union all ".join(f"select key, {b} as bit from ({hashed})" for b in buckets("one", "two", params.hashes, params.bits, "duckdb"))
 
 
 @query(f"select {BLOOM.bits} as bits, {BLOOM.hashes} as hashes, {BLOOM.bits} - count(distinct bit) as empty from ({_bits_sql('orders', 'o_orderkey', BLOOM)})")
