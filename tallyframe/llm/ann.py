@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one codeword from each of several full-dimensional codebooks, found by beam search over
-residuals; the norm of the sum is stored. The distance to a query then needs only lookups of the query's
-products with the codewords. The best by these are reranked by exact distance on the original vectors.
+residuals; the norm of the sum and the length of what it leaves over (the error) are stored. The distance of a coded vector to
+a query then needs only lookups of the query's products with the codewords, and the true distance differs from it by at
+most the error. Every candidate whose bound is not beyond the k-th best exact distance so far is reranked exactly on the original
+vectors, so there is no short list that could be too short.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 #: Rows are coded so many at a time, padded if fewer, so that equal vectors always get equal codes.
 BLOCK = 256
@@ -104,15 +106,16 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dimension)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, short: int = 200, sample: int = 8192, number: int = 32, size: int = 256, beam: int = 2, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of ``vectors`` (vec_id, embedding) found for each query.
+def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 8192, number: int = 32, size: int = 256, beam: int = 2, block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of ``vectors`` (vec_id, embedding) for each query.
 
     Queries are the rows where ``is_query`` holds; candidates are all rows but the query's own. score is the
     Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do rows without an id and vectors whose
     dimension is not the commonest one. Rows that repeat an id are candidates each. The codebooks
     are fitted on at most ``sample`` vectors, chosen by a hash of the id; all vectors are coded. The queries go
-    through the codes in blocks of ``block``, the size of what is broadcast; the ``short`` best by lookup are reranked.
+    through the codes in blocks of ``block``, the size of what is broadcast; a block's answers are written and its broadcast is
+    dropped before the next one.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -126,63 +129,99 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, short: int = 200,
     rows = good.select("vec_id", "row", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).toArrow()
     if not rows.num_rows:
         return empty
-    shared = spark.sparkContext.broadcast(train(_matrix(rows.column("embedding").combine_chunks(), dimension), number, min(size, rows.num_rows), beam))
+    fitted = _matrix(rows.column("embedding").combine_chunks(), dimension)
+    with np.errstate(over="ignore", invalid="ignore"):
+        tame = fitted[np.isfinite((fitted**2).sum(1))]
+    shared = spark.sparkContext.broadcast(train(tame if len(tame) else np.zeros((1, dimension), np.float32), number, min(size, max(1, len(tame))), beam))
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                codes, norms = shared.value.encode(_matrix(batch.column(2), dimension))
-                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "row": batch.column(1), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": pa.array(norms.astype(np.float32))})
-
-    coded = scratch.table(good.select("vec_id", "row", "embedding").mapInArrow(code, "vec_id long, row long, codes binary, norm float"))
+                x = _matrix(batch.column(2), dimension)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    codes, norms = shared.value.encode(x)
+                    error = np.sqrt(((x.astype(np.float64) - shared.value.decode(codes)) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(error)], names=["vec_id", "row", "embedding", "codes", "norm", "error"])
+
+    kind = dict(good.dtypes)["embedding"]
+    coded = scratch.table(good.select("vec_id", "row", "embedding").mapInArrow(tidied(code), f"vec_id long, row long, embedding {kind}, codes binary, norm float, error double"))
     asks, parts, last = good.where("asks").select("row", "embedding"), [], -1
+    final = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     while (some := asks.where(F.col("row") > last).orderBy("row").limit(block).toArrow()).num_rows:
         last = some.column("row")[-1].as_py()
-        parts.append(_listed(coded, shared, spark.sparkContext.broadcast((some.column("row").to_numpy(), _matrix(some.column("embedding").combine_chunks(), dimension))), short))
+        queries = spark.sparkContext.broadcast((some.column("row").to_numpy(), _doubles(some.column("embedding").combine_chunks(), dimension)))
+        found = _nearest(coded, shared, queries, dimension, k)
+        # The scan's own distances choose; the last few are set in order by the distance that is returned.
+        listed = found.withColumn("place", F.row_number().over(final)).where(F.col("place") <= k + 2).select("query_row", "row")
+        parts.append(scratch.table(listed))
+        queries.unpersist()
     if not parts:
         return empty
-    found = reduce(DataFrame.unionAll, parts)
-    order = Window.partitionBy("query_row").orderBy("lookup", "vec_id", "row")
-    listed = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short).select("query_row", "row")
     x = good.where("asks").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
     y = good.select("row", "vec_id", F.col("embedding").alias("y"))
-    exact = listed.join(y, "row").join(x, "query_row").select("query_id", "query_row", "vec_id", "row", distance("x", "y").alias("score"))
-    final = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
+    exact = reduce(DataFrame.unionAll, parts).join(y, "row").join(x, "query_row").select("query_id", "query_row", "vec_id", "row", distance("x", "y").alias("score"))
     return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _listed(coded: DataFrame, books, queries, short: int) -> DataFrame:
-    """query_row, vec_id, row, lookup: of each partition of the codes the ``short`` best for each query of a block."""
+def _doubles(column: pa.Array, dimension: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+
+#: Queries that one batch of rows is held against at a time.
+TOGETHER = 256
+
+
+def _nearest(coded: DataFrame, books, queries, dimension: int, k: int) -> DataFrame:
+    """query_row, vec_id, row, score: of each partition of the codes the k + 2 nearest for each query of a block."""
+    most = k + 2
 
     def scan(batches):
         own, x = queries.value
-        tables = [x @ b.T * 2 for b in books.value.books]  # lookup tables: (queries, size) for each codebook
-        held = [(np.full((len(part), 0), np.inf, np.float32), np.zeros((len(part), 0), np.int64), np.zeros((len(part), 0), np.int64)) for part in np.array_split(own, -(-len(own) // 256))]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = x.astype(np.float32)
+            tables = [near @ b.T * 2 for b in books.value.books]  # lookup tables: (queries, size) for each codebook
+        lengths = (x**2).sum(1)
+        held = [(np.full((len(part), most), np.inf), np.full((len(part), most), np.iinfo(np.int64).max), np.full((len(part), most), -1)) for part in np.array_split(own, -(-len(own) // TOGETHER))]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, row, norm = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            at = 0
-            for g, (score0, ids0, row0) in enumerate(held):
-                n = len(score0)
-                score = np.repeat(norm[None, :], n, 0)
-                for m, table in enumerate(tables):
-                    score -= np.take(table[at : at + n], codes[:, m], axis=1)
-                score[own[at : at + n, None] == row[None, :]] = np.inf  # the query's own row
-                score = np.concatenate([score0, score], 1)
-                each_id = np.concatenate([ids0, np.broadcast_to(ids, (n, len(ids)))], 1)
-                each_row = np.concatenate([row0, np.broadcast_to(row, (n, len(row)))], 1)
-                best = np.lexsort((each_row, each_id, score), axis=1)[:, :short]
-                held[g] = tuple(np.take_along_axis(v, best, 1) for v in (score, each_id, each_row))
-                at += n
+            for at in range(0, batch.num_rows, 1024):
+                take(batch.slice(at, 1024), own, x, lengths, tables, held)
         at = 0
         for score, ids, row in held:
-            i, j = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_pydict({"query_row": pa.array(own[at : at + len(score)][i]), "vec_id": pa.array(ids[i, j]), "row": pa.array(row[i, j]), "lookup": pa.array(score[i, j])})
+            i, j = np.nonzero(row >= 0)
+            yield pa.RecordBatch.from_pydict({"query_row": pa.array(own[at : at + len(score)][i]), "vec_id": pa.array(ids[i, j]), "row": pa.array(row[i, j]), "score": pa.array(score[i, j])})
             at += len(score)
 
-    return coded.mapInArrow(scan, "query_row long, vec_id long, row long, lookup float")
+    def take(batch, own, x, lengths, tables, held):
+        ids, row, norm, error = (batch.column(i).to_numpy() for i in (0, 1, 4, 5))
+        codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+        y = _doubles(batch.column(2), dimension)
+        at = 0
+        for g, (score0, ids0, row0) in enumerate(held):
+            n = len(score0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                lookup = np.repeat(norm[None, :], n, 0)
+                for m, table in enumerate(tables):
+                    lookup -= np.take(table[at : at + n], codes[:, m], axis=1)
+                square = lookup + lengths[at : at + n, None]
+                # Single precision may be off by this much.
+                square -= 1e-4 * (lengths[at : at + n, None] + norm[None, :])
+                bound = np.sqrt(np.maximum(square, 0)) - error[None, :] * (1 + 1e-6)
+                beyond = bound > score0[:, -1:]  # false for what is not a number: such vectors are always reranked
+            beyond |= own[at : at + n, None] == row[None, :]  # the query's own row
+            i, j = np.nonzero(~beyond)
+            count = np.bincount(i, minlength=n)
+            for q in np.flatnonzero(count).tolist():
+                mine = j[np.searchsorted(i, q) : np.searchsorted(i, q, "right")]
+                d = np.sqrt(((y[mine] - x[at + q]) ** 2).sum(1))
+                fit = d <= score0[q, -1]
+                mine, d = mine[fit], d[fit]
+                if len(mine):
+                    s, v, r = np.concatenate([score0[q], d]), np.concatenate([ids0[q], ids[mine]]), np.concatenate([row0[q], row[mine]])
+                    best = np.lexsort((r, v, s))[:most]
+                    score0[q], ids0[q], row0[q] = s[best], v[best], r[best]
+            at += n
+
+    return coded.mapInArrow(tidied(scan), "query_row long, vec_id long, row long, score double")
 
 
 def distance(x: str, y: str) -> Column:

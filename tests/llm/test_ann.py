@@ -39,6 +39,35 @@ def test_recall_ties_and_odd_vectors(spark):
     assert [i for _, _, i in got[2000]] == [50, *range(2001, 2010)]
 
 
+def test_recall_at_twenty_thousand_with_thousands_of_near_copies(spark):
+    """Clusters, and a third of all rows closer to each other than the codes can tell apart."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = np.concatenate([centres[rng.integers(40, size=13_000)] + 0.3 * rng.normal(size=(13_000, 24)), centres[0] + 1e-4 * rng.normal(size=(7000, 24))]).astype(np.float32)
+    rng.shuffle(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    got = {}
+    for r in search(df, F.col("vec_id") % 200 == 0, number=8, size=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, len(x), 200):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10]
+        hits += len(set(want.tolist()) & {i for _, i in got[q]})
+    assert hits >= 0.999 * 10 * len(got) and len(got) == 100
+
+
+def test_components_whose_squares_overflow(spark):
+    big = [(i, [1e30 * (i + 1), 1.0, 0.0]) for i in range(30)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(30)]
+    want = brute(big, lambda i: i % 10 == 0, 10)
+    got = {}
+    for r in search(table(spark, big), F.col("vec_id") % 10 == 0, number=4, size=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
+    assert sum(len({i for _, i in want[q]} & set(v)) for q, v in got.items()) >= 0.9 * 10 * len(want)
+
+
 def test_few_rows(spark):
     assert search(table(spark, []), F.col("vec_id") % 2 == 0).collect() == []
     assert search(table(spark, [(0, None), (1, [])]), F.col("vec_id") % 2 == 0).collect() == []
