@@ -37,6 +37,43 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     check([(d, r.text) for d, r in cut.items()], tables[4].collect(), lambda t: library.encode(t, add_special_tokens=False).ids, 1024)
 
 
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and extra columns that operators use themselves."""
+    words = " ".join(f"w{i}" for i in range(120))
+    rows = [
+        (1, " ".join(f"v{i}" for i in range(60)) + f" {words}", "en", "a", 500, 7, "x", 1),
+        (2, None, None, None, None, None, None, None),
+        (3, "", "en", "a", 0, 1, "y", 2),
+        (4, " \n ", "de", "b", 3, 1, "y", 2),
+        (5, f"other words {words} at the end of it", "en", "b", 600, 2, "z", 3),
+        (5, f"other words {words} at the end of it", "en", "b", 600, 2, "z", 3),
+        (None, f"no id {words}", "en", "b", 600, 3, "n", 4),
+        (6, "long " * 300_000, "en", "c", 1_500_000, 4, "l", 5),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, n_removed long")
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    docs, empty = odd(spark), odd(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        kept = out.collect()
+        ids = [r.doc_id for r in kept]
+        assert ids.count(5) in (0, 2), name
+        if name == "substring dedup":
+            by = {r.doc_id: r for r in kept}
+            assert len(kept) == 8 and by[5].text == "other words at the end of it" and by[5].n_chars == len(by[5].text)
+            assert (by[5].n_words, by[5].kept, by[5].n_removed) == (2, "z", 3) and by[2].text is None and by[None].n_chars == 600
+        else:
+            assert all(r in docs.collect() for r in kept), name
+        if name == "n-gram Jaccard join":
+            assert sorted(i for i in ids if i) == [1, 2, 3, 4, 5, 5, 6] and None in ids
+        assert stage(spark, empty, D).collect() == [], name
+    assert sorted({r.doc_id or 0 for r in corpus_pipeline.pack(spark, docs, D).collect()}) == [0, 1, 2, 3, 4, 5, 6]
+    assert corpus_pipeline.pack(spark, empty, D).collect() == []
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
