@@ -114,7 +114,7 @@ def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[list, lis
                 out = f(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def keep_rows(df: DataFrame, columns: list[str], test: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -127,7 +127,7 @@ def keep_rows(df: DataFrame, columns: list[str], test: Callable[[pa.RecordBatch]
                 some = pa.RecordBatch.from_arrays([rows.column(i) for i in at], names=columns)
                 yield rows.filter(pa.array(test(some)))
 
-    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes))).toDF(*names)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(tidied(run), ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes))).toDF(*names)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

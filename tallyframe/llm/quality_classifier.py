@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, keep_rows, slices
+from .common import Scratch, held_out, keep_rows, slices, small_batches, tidied
 from .toxicity import labelled_sample, logistic
 
 #: Of bytes: one class for each punctuation mark and white space, one each for digits, capitals, small letters and the rest.
@@ -133,7 +133,7 @@ class Table:
 
         names, kinds = ["fit", "view", "label", "key", "minus", "features"], [pa.int32()] * 3 + [pa.int64(), pa.float64(), pa.binary()]
         lists, order = ["fit", "view", "label"], ["minus", "key"]
-        found = self.rows.mapInArrow(run, "fit int, view int, label int, key long, minus double, features binary").withColumn("share", F.spark_partition_id() % 16)
+        found = self.rows.mapInArrow(tidied(run), "fit int, view int, label int, key long, minus double, features binary").withColumn("share", F.spark_partition_id() % 16)
         for by in ([*lists, "share"], lists):  # the last step gets few rows, however many tasks there were
             found = found.dropDuplicates([*by, "key"]) if by == lists else found
             found = found.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= most)
@@ -203,35 +203,45 @@ def _views(rows) -> list[np.ndarray]:
     return [np.array([content(t) for t in text]), np.array([metadata(*m) for m in zip(*page, strict=True)])]
 
 
-def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key and features of every document without a label outside the held-out fifth."""
+PAGE = ("text", "source", "lang", "n_chars")
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` other than PAGE, and features: the doubles of both views, found on the executors."""
+    own = [c for c in rows.columns if c not in PAGE]
 
     def run(batches):
         for batch in batches:
-            for rows in slices(batch):
-                x = np.hstack(_views(rows))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "key", "features"])
+            for part in slices(batch):
+                x = np.hstack(_views(part))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([r.tobytes() for r in x], pa.binary())], names=[*own, "features"])
 
-    page = ("text", "source", "lang", "n_chars")
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("doc_id", *page).alias("key"), *page)
+    kinds = dict(rows.dtypes)
+    return rows.select(*own, *PAGE).mapInArrow(tidied(run), ", ".join([*(f"{c} {kinds[c]}" for c in own), "features binary"]))
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key and features of every document without a label outside the held-out fifth."""
+    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("doc_id", *PAGE).alias("key"), *PAGE)
     # Features before the join, so that no text travels.
-    return rows.mapInArrow(run, "doc_id long, key long, features binary").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "features")
+    return featured(rows).join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "features")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> QualityModel:
     """Learn from at most ``most`` labelled training documents, chosen by a hash of the id, and from all without a label.
 
-    The held-out fifth is neither learnt from nor in the pool.
+    The held-out fifth is neither learnt from nor in the pool. Of labelled documents only features reach the driver; rows that
+    repeat an id and label count as one.
     """
     own = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    some = labelled_sample(own, labels, "quality", most).select("doc_id", "label", "text", "source", "lang", "n_chars").toArrow()
-    some = some.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    y = np.array(some.column("label").to_pylist(), float)
-    views = _views(some) if some.num_rows else [np.zeros((0, 1)), np.zeros((0, 1))]
-    del some
+    with small_batches(docs.sparkSession):
+        some = featured(labelled_sample(own, labels, "quality", most).select("doc_id", "label", *PAGE)).dropDuplicates(["doc_id", "label"]).toArrow()
+    some = some.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    y, cut = np.array(some.column("label").to_pylist(), float), len(content(None))
+    x = np.frombuffer(b"".join(some.column("features").to_pylist())).reshape(some.num_rows, -1) if some.num_rows else np.zeros((0, cut))
     scratch = Scratch(docs.sparkSession)
     rest = scratch.table(unlabelled(own, labels))
-    model = fit_model(views, y, Table(rest))
+    model = fit_model([x[:, :cut], x[:, cut:]], y, Table(rest))
     scratch.drop(rest)
     return model
 
@@ -251,7 +261,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "score": pa.array(p[:, 0]), "content_score": pa.array(p[:, 1]), "metadata_score": pa.array(p[:, 2])})
 
     own = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return own.mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double")
+    return own.mapInArrow(tidied(run), "doc_id long, score double, content_score double, metadata_score double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
