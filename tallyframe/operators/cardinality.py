@@ -10,12 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sizing
 from ..functions.hashing import STRATEGIES, leading_zeros, strategy_for
-from .relation import Sketch
+from .relation import Sketch, held
 
 MAX_LONG = 2**63 - 1
 
@@ -197,12 +198,19 @@ def count_then_estimate(df: DataFrame, column: str, tipping: int = 1000, p: int
     """Items and registers. Items: (by..., item, tipped); a group of more than ``tipping`` different ones has
     one row without an item, marked as tipped.
 
-    Items are first made distinct, so that both sides come from one aggregate.
+    Each partition makes its items distinct, and those of a group that has tipped there a mark when they are many
+    (``relation.held``). Registers come from the rows themselves.
     """
-    item = F.col(column).cast("string").alias("item")
-    distinct = df.where(F.col(column).isNotNull()).select(*by, item, F.col(column).alias("value")).distinct()
-    items = _settled(distinct.select(*by, "item", F.lit(False).alias("tipped")), tipping, by)
-    return Sketch(items, "items", (tipping,), by), hyperloglog(distinct.select(*by, "value"), "value", p, by, strategy)
+    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"))
+
+    def fewer(table: pa.Table) -> pa.Table:
+        if pc.any(table.column("tipped")).as_py() or table.num_rows > tipping:
+            return pa.table({"item": pa.array([None], table.schema.field("item").type), "tipped": [True]})
+        return table
+
+    own = held(values.select(*by, F.col("value").cast("string").alias("item"), F.lit(False).alias("tipped")), by, "item", {"tipped": "max"}, fewer, tipping + 1)
+    items = own.groupBy(*by, "item").agg(F.max("tipped").alias("tipped"))
+    return Sketch(_settled(items, tipping, by), "items", (tipping,), by), hyperloglog(values, "value", p, by, strategy)
 
 
 def _settled(rows: DataFrame, tipping: int, by: tuple[str, ...]) -> DataFrame:

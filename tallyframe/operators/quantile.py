@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import SketchMergeError
-from .relation import Sketch
+from .relation import Sketch, held
 
 # --- tree digest
 
@@ -16,14 +16,20 @@ from .relation import Sketch
 def tree_digest(df: DataFrame, column: str, factor: int, height: int = 32, by: tuple[str, ...] = ()) -> Sketch:
     """Rows (by..., node, count) over the tree of integers below 2**height; node 1 is the root, 2**height + v a leaf.
 
-    Counts of each value come from one aggregate; then levels are compacted from the leaves up: a node's children and it become
-    one where they hold at most n / factor together. Ranks are off by at most n * height / factor. Negative or too large
-    values fail the query.
+    Each partition counts its values, compacting them when they are many (``relation.held``); then levels are compacted from the
+    leaves up: a node's children and it become one where they hold at most n / factor together. Ranks are off by at most
+    n * height / factor, since partitions compact to their own, smaller limits. Negative or too large values fail the query.
     """
     v = F.col(column).cast("bigint")
     fits = F.when((v < 0) | (v >= (1 << height)), F.raise_error(F.lit(f"values must lie in 0 ... 2**{height} - 1")).cast("bigint")).otherwise(v)
-    leaves = df.where(F.col(column).isNotNull()).groupBy(*by, fits.alias("v")).agg(F.count("*").alias("count"))
-    rows = leaves.select(*by, (F.col("v") + (1 << height)).alias("node"), "count")
+    leaves = df.where(F.col(column).isNotNull()).select(*by, (fits + (1 << height)).alias("node"), F.lit(1).cast("bigint").alias("count"))
+
+    def fewer(table: pa.Table) -> pa.Table:
+        node, count = table.column("node").to_numpy(), table.column("count").to_numpy()
+        node, count = fold_levels(node, count, int(count.sum()) // factor, height, 0)
+        return pa.table({"node": node, "count": count})
+
+    rows = held(leaves, by, "node", {"count": "sum"}, fewer, 3 * factor).groupBy(*by, "node").agg(F.sum("count").alias("count"))
     return Sketch(_compacted(rows, factor, height, by), "tree_digest", (factor, height), by)
 
 
@@ -126,16 +132,28 @@ def _clustered(rows: DataFrame, compression: float, by: tuple[str, ...]) -> Data
     return out.drop("k")
 
 
+def _fewer_centroids(table: pa.Table, compression: float) -> pa.Table:
+    """``_clustered`` for the centroids of one group in one partition."""
+    table = table.sort_by("mean")
+    mean, weight, low, high = (table.column(c).to_numpy() for c in ("mean", "weight", "low", "high"))
+    q = np.clip((np.cumsum(weight) - weight / 2) / max(int(weight.sum()), 1), 1e-12, 1 - 1e-12)
+    starts = np.flatnonzero(np.diff(np.floor(compression / 4 * np.log(q / (1 - q))), prepend=-np.inf))
+    total, low, high = np.add.reduceat(weight, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+    middle = np.where(total > 0, np.add.reduceat(mean * weight, starts) / np.maximum(total, 1), low)
+    return pa.table({"mean": middle, "weight": total, "low": low, "high": high})
+
+
 def centroid_digest(df: DataFrame, column: str, compression: float = 100, weight: str | None = None, by: tuple[str, ...] = (), shards: int = 32) -> Sketch:
     """Rows (by..., mean, weight, low, high): centroids, at most about 5 * compression of them.
 
-    Values are summed, then clustered in ``shards`` shares by hash, then the shares' centroids together, so no task
-    sorts all rows. The outcome doesn't depend on order. Nulls and NaN are no values.
+    Each partition adds up equal values, clustering them when they are many (``relation.held``); then they are clustered in
+    ``shards`` shares by hash, then the shares' centroids together, so no task sorts all rows. Unless a partition has more different
+    values than it holds, the outcome doesn't depend on order. Nulls and NaN are no values.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     v = F.col(column).cast("double")
-    values = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("mean")).agg(F.sum(w.cast("bigint")).alias("weight"))
-    rows = values.select(*by, "mean", "weight", F.col("mean").alias("low"), F.col("mean").alias("high"))
+    values = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("mean"), w.cast("bigint").alias("weight"), v.alias("low"), v.alias("high"))
+    rows = held(values, by, "mean", {"weight": "sum", "low": "min", "high": "max"}, lambda t: _fewer_centroids(t, 4 * compression), int(20 * compression))
     if shards > 1:
         dealt = rows.withColumn("__shard", F.pmod(F.xxhash64("mean"), F.lit(shards)))
         # Shares are clustered more finely, so that the second step decides.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +55,57 @@ def same_state(a: Sketch, b: Sketch) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
-def keys(by: tuple[str, ...]) -> list:
-    return [F.col(b) for b in by]
+#: Rows that a partition of a sketch holds before it makes them fewer.
+HELD = 1 << 17
+
+
+def held(rows: DataFrame, by: tuple[str, ...], key: str, sums: dict[str, str], fewer: Callable[[pa.Table], pa.Table], least: int, most: int = HELD) -> DataFrame:
+    """Rows of one (by..., key) added up within each partition, so that no exchange sees every value.
+
+    ``sums`` names the Arrow aggregate of each further column. Beyond ``most`` rows, ``fewer`` is applied to each group of at
+    least ``least``; where that does not halve them, because there are many groups, they are sent on. A partition that had to make
+    them fewer does so at its end too. Sums are kept, so a total doesn't depend on when that happened.
+    """
+    names, least = rows.columns, max(least, 64)
+
+    def added(parts: list) -> pa.Table:
+        out = pa.concat_tables(parts).group_by([*by, key], use_threads=False).aggregate(list(sums.items()))
+        return pa.table({n: out.column(f"{n}_{sums[n]}" if n in sums else n) for n in names})
+
+    def smaller(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group = np.zeros(table.num_rows, np.int64)
+        if by:
+            codes = [table.column(b).chunk(0).dictionary_encode().indices.fill_null(-1).to_numpy() for b in by]
+            _, group = np.unique(np.stack(codes), axis=1, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        ends = np.append(starts[1:], len(order))
+        large = ends - starts >= least
+        small = np.repeat(~large, ends - starts)
+        out = [table.take(order[small])]
+        for a, b in zip(starts[large], ends[large], strict=True):
+            part = table.take(order[a:b])
+            less = fewer(part.drop_columns(list(by)))
+            own = part.select(list(by)).take(np.zeros(less.num_rows, np.int64))
+            out.append(pa.table({n: own.column(n) if n in by else less.column(n) for n in names}, schema=part.schema))
+        return pa.concat_tables(out)
+
+    def run(batches):
+        parts, n, full = [], 0, False
+        for batch in batches:
+            parts.append(pa.table(batch.columns, names))  # without the marks of columns that can't be null
+            n += batch.num_rows
+            if n < 2 * most:
+                continue
+            now = added(parts)
+            if now.num_rows > most:
+                now, full = smaller(now), True
+                if now.num_rows > most // 2:
+                    yield from now.to_batches()
+                    now = now.slice(0, 0)
+            parts, n = [now], now.num_rows
+        if n:
+            yield from (smaller(added(parts)) if full else added(parts)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)

@@ -12,7 +12,7 @@ from tallyframe.operators import frequency as N
 from tallyframe.operators import membership as M
 from tallyframe.operators import quantile as Q
 from tallyframe.operators import topk as T
-from tallyframe.operators.relation import read, same_state
+from tallyframe.operators.relation import held, read, same_state
 
 ITEMS = "X X Y Z A B C X X A C A A".split()
 
@@ -73,6 +73,33 @@ def test_count_then_estimate(spark):
     assert tipped and abs(n / 5000 - 1) < 0.06
 
 
+def test_sketches_of_partitions_that_hold_too_many_values(spark):
+    n = 600_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.when(F.col("id") < 100, F.lit(None)).otherwise(F.col("id") % 2).alias("g")).coalesce(2)
+    tree, cent = still(Q.tree_digest(df, "v", 200, 20)), still(Q.centroid_digest(df, "v", 100))
+    assert tree.rows.agg(F.sum("count")).first()[0] == n == Q.centroid_summary(cent).first()["size"]
+    assert Q.centroid_quantile(cent, 0.0).first().quantile == 0 and Q.centroid_quantile(cent, 1.0).first().quantile == n - 1
+    for q in (0.01, 0.5, 0.9):
+        assert abs(Q.tree_quantile(tree, q).first().quantile / n - q) <= 20 / 200
+        assert abs(Q.centroid_quantile(cent, q).first().quantile / n - q) < 0.005
+    grouped = {r.g: r["count"] for r in Q.tree_digest(df, "v", 200, 20, ("g",)).rows.groupBy("g").agg(F.sum("count").alias("count")).collect()}
+    assert grouped[0] == grouped[1] == n // 2 - 50
+    tipped, found = C.count_then_estimate_estimate(C.count_then_estimate(df, "v", 1000, 12)).first()
+    assert tipped and abs(found / n - 1) < 0.06
+    few = df.withColumn("v", F.when(F.col("g") == 0, F.col("v") % 100).otherwise(F.col("v")))
+    by = {r.g: (r.tipped, r.estimate) for r in C.count_then_estimate_estimate(C.count_then_estimate(few.where("g is not null"), "v", 1000, 12, ("g",))).collect()}
+    assert by[0] == (False, 50) and by[1][0]
+
+
+def test_rows_held_by_partition(spark):
+    df = spark.range(40_000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 9000).alias("k"), F.lit(1).cast("bigint").alias("w")).coalesce(1)
+    for least in (100, 10**6):  # makes groups fewer; sends them on
+        out = held(df, ("g",), "k", {"w": "sum"}, lambda t: t.group_by([]).aggregate([("k", "min"), ("w", "sum")]).rename_columns(["k", "w"]), least, 1000)
+        assert {r.g: r.n for r in out.groupBy("g").agg(F.sum("w").alias("n")).collect()} == {"0": 13_334, "1": 13_333, "2": 13_333}
+        assert (out.count() < 100) == (least == 100)
+    assert held(df.limit(0), ("g",), "k", {"w": "sum"}, lambda t: t, 1, 10).count() == 0
+
+
 def test_hyperbitbit_is_rough_and_grouped(spark):
     df = spark.range(40_000).select("id", (F.col("id") % 2).alias("g"))
     assert 0.6 < C.hyperbitbit(df, "id", ["id"]).first().estimate / 40_000 < 1.6
