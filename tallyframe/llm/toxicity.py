@@ -13,10 +13,11 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, map_text
+from .common import Scratch, held_out, keep_rows, map_text, slices, tidied
 
 TOKEN = re.compile(r"[^\W\d_]+")
 EULER = 0.5772156649015329
@@ -27,22 +28,17 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float = 50.0, sure: float = 1.64, least: int = 3, most: int = 50_000) -> dict[int, float]:
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int, prior: float = 50.0, sure: float = 1.64) -> Column:
     """Log-odds of a token's presence between two sets of documents, at the near end of their interval.
 
-    ``toxic`` and ``clean`` count the documents that hold each token. The Dirichlet prior spreads ``prior``
+    ``toxic`` and ``clean`` count the documents that hold the token. The Dirichlet prior spreads ``prior``
     pseudo-documents over the tokens as both sets together do, and ``sure`` standard deviations are taken off the absolute
-    value, so rare tokens stay near zero. Tokens of fewer than ``least`` documents are left out; of the rest the ``most``
-    with the largest absolute value stay.
+    value, so rare tokens stay near zero.
     """
-    at = np.flatnonzero(toxic + clean >= least)
-    t, c = toxic[at].astype(float), clean[at].astype(float)
-    a = prior * (t + c) / max(n_toxic + n_clean, 1)
-    logit = lambda y, n: np.log((y + a) / np.maximum(n + prior - y - a, 1e-9))
-    d = logit(t, n_toxic) - logit(c, n_clean)
-    d = np.sign(d) * np.maximum(np.abs(d) - sure * np.sqrt(1 / (t + a) + 1 / (c + a)), 0)
-    keep = np.argsort(-np.abs(d), kind="stable")[:most]
-    return dict(zip(at[keep].tolist(), d[keep].tolist(), strict=True))
+    a = F.lit(prior) * (toxic + clean) / max(n_toxic + n_clean, 1)
+    logit = lambda y, n: F.log((y + a) / F.greatest(F.lit(n + prior) - y - a, F.lit(1e-9)))
+    d = logit(toxic, n_toxic) - logit(clean, n_clean)
+    return F.signum(d) * F.greatest(F.abs(d) - F.sqrt(1 / (toxic + a) + 1 / (clean + a)) * sure, F.lit(0.0))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -71,25 +67,30 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - x) for s, e, x, r, _ in stack]
 
 
-def _plain(words) -> list:
-    return words.tolist() if isinstance(words, np.ndarray) else words
-
-
 class Scorer:
     """Token scores with their extreme-value law."""
 
-    def __init__(self, odds: dict, clean: list, drift: float = 1.0):
-        """``clean`` are token sequences, of texts or of numbers; ``drift`` is taken off each token's log-odds, so that a clean text's sum falls."""
+    def __init__(self, odds: dict[str, float], clean: list[list[str]] = (), drift: float = 1.0):
+        """``drift`` is taken off each token's log-odds, so that a clean text's sum falls; the law is that of ``clean``, token lists."""
         self.scores, self.other = {w: v - drift for w, v in odds.items()}, -drift
-        seen: Counter = Counter()
-        for d in clean:
-            seen.update(_plain(d))
-        values = np.array([self.scores.get(w, self.other) for w in seen] or [self.other])
-        weights = np.array(list(seen.values()) or [1], float)
+        self.set_rate(Counter(w for d in clean for w in d))
+        found = [self.excess(d) for d in clean if d]
+        self.set_level(sum(found), len(found))
+
+    def set_rate(self, seen: dict[str, int], others: int = 0) -> None:
+        """The law's rate, from how often clean texts hold each token; ``others`` counts tokens without a score."""
+        values = np.array([*(self.scores.get(w, self.other) for w in seen), self.other])
+        weights = np.array([*seen.values(), others], float)
+        weights[-1] += not weights.any()
         self.rate = self._rate(values, weights / weights.sum())
-        best = [self.rate * max((x[2] for x in segments(self.of(d))), default=0.0) - math.log(len(d)) for d in clean if len(d)]
-        # The mean of a Gumbel law with location ln(K n) / lambda and scale 1 / lambda.
-        self.log_k = float(np.mean(best) - EULER) if best else 0.0
+
+    def excess(self, words: list[str]) -> float:
+        """What a clean text says of the law's constant: its best segment in units of the rate, less ln of its length."""
+        return self.rate * max((x[2] for x in segments(self.of(words))), default=0.0) - math.log(len(words))
+
+    def set_level(self, total: float, n: int) -> None:
+        """The law's constant from the sum of the excess of ``n`` clean texts: the mean of a Gumbel law with location ln(K n) / lambda and scale 1 / lambda."""
+        self.log_k = total / n - EULER if n else 0.0
 
     @staticmethod
     def _rate(values: np.ndarray, p: np.ndarray) -> float:
@@ -107,7 +108,7 @@ class Scorer:
 
     def of(self, words) -> np.ndarray:
         get, other = self.scores.get, self.other
-        return np.array([get(w, other) for w in _plain(words)], np.float64)
+        return np.array([get(w, other) for w in words], np.float64)
 
     def passages(self, words) -> list[tuple[int, int, float, float]]:
         """(start, end, score, ln E): the expected number of segments as good in a clean text so long."""
@@ -141,41 +142,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 class ToxicityModel:
-    """Fitted on (text, label) pairs; ``score`` gives a text's probability and its passages."""
-
-    def __init__(self, texts: list[str | None], labels: list[int], level: float = 0.01):
-        self.level = level
-        number: dict[str, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
-        y = np.array(labels, float)
-        self.constant = None
-        if len(set(labels)) < 2:  # nothing to tell apart: the share of label 1
-            self.constant = float(y.mean()) if len(y) else 0.0
-            return
-        fold = np.arange(len(docs)) % 2
-
-        def holding(rows: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(number), np.int64)
-            for i in rows:
-                out[np.unique(docs[i])] += 1
-            return out
-
-        def fit(rows: np.ndarray) -> Scorer:
-            bad, good = rows[y[rows] > 0], rows[y[rows] == 0]
-            return Scorer(log_odds(holding(bad), holding(good), len(bad), len(good)), [docs[i] for i in good])
-
-        x = np.zeros((len(docs), 2))
-        for k in (0, 1):  # evidence for the calibration comes from the fold that the scores did not see
-            scorer = fit(np.flatnonzero(fold != k))
-            for i in np.flatnonzero(fold == k):
-                x[i] = scorer.evidence(docs[i], level)[:2]
-        self.weights = logistic(x, y)
-        self.scorer = fit(np.arange(len(docs)))
-        names = list(number)
-        self.scorer.scores = {names[i]: v for i, v in self.scorer.scores.items()}
+    """``score`` gives a text's probability and its significant passages; without a scorer every text has ``constant``."""
+
+    def __init__(self, scorer: Scorer | None, weights: np.ndarray | None, level: float, constant: float = 0.0):
+        self.scorer, self.weights, self.level, self.constant = scorer, weights, level, constant
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
-        if self.constant is not None:
+        if self.scorer is None:
             return self.constant, []
         best, several, real = self.scorer.evidence(tokens(text), self.level)
         z = self.weights[0] * best + self.weights[1] * several + self.weights[2]
@@ -197,11 +170,115 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, level: float = 0.01) -> ToxicityModel:
-    """Learn from at most ``most`` labelled documents outside the held-out fifth."""
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", most).select("doc_id", "text", "label").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    return ToxicityModel(rows.column("text").to_pylist(), rows.column("label").to_pylist(), level)
+#: Of each token: documents that hold it by fold and label, and how often clean documents of each fold do.
+COUNTS = ["clean0", "toxic0", "clean1", "toxic1", "often0", "often1"]
+#: Sums of the excess are kept as whole numbers of so small a unit, so that they don't depend on their order.
+UNIT = 1e-9
+
+
+def _token_counts(rows: DataFrame) -> DataFrame:
+    """(token, COUNTS) of (doc_id, fold, label, text), added up for each batch before the exchange."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found: dict[str, list[int]] = {}
+                for fold, label, text in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    for w, n in Counter(tokens(text)).items():
+                        own = found.setdefault(w, [0] * len(COUNTS))
+                        own[2 * fold + label] += 1
+                        own[4 + fold] += n * (1 - label)
+                columns = zip(*found.values(), strict=True) if found else [[]] * len(COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["token", *COUNTS])
+
+    parts = rows.mapInArrow(tidied(run), "token string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _scorer(counts: DataFrame, folds: list[int], n: dict[tuple[int, int], int], totals: dict[str, int], least: int = 3, most: int = 50_000) -> Scorer:
+    """Token scores from these folds, with the law's rate but not yet its constant.
+
+    Tokens of fewer than ``least`` documents are left out, as are those of log-odds 0, which score as unknown ones do; of the rest
+    the ``most`` with the largest absolute value stay.
+    """
+    over = lambda name: sum((F.col(f"{name}{f}") for f in folds), F.lit(0))
+    size = lambda label: sum(n.get((f, label), 0) for f in folds)
+    top = (
+        counts.where(over("toxic") + over("clean") >= least)
+        .select("token", log_odds(over("toxic"), over("clean"), size(1), size(0)).alias("odds"), over("often").alias("often"))
+        .where(F.col("odds") != 0)
+        .orderBy(F.abs("odds").desc(), "token")
+        .limit(most)
+        .toArrow()
+    )
+    names, often = top.column("token").to_pylist(), top.column("often").to_pylist()
+    out = Scorer(dict(zip(names, top.column("odds").to_pylist(), strict=True)))
+    out.set_rate(dict(zip(names, often, strict=True)), sum(totals[f"often{f}"] or 0 for f in folds) - sum(often))
+    return out
+
+
+def _excess(rows: DataFrame, scorers: list[Scorer]) -> dict[int, tuple[float, int]]:
+    """For each scorer the sum of the excess of clean texts, and their number; scorer 0 has seen fold 1, scorer 1 fold 0, scorer 2 both."""
+    shared = rows.sparkSession.sparkContext.broadcast(scorers)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                out = {k: [0, 0] for k in range(len(own))}
+                for fold, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if words := tokens(text):
+                        for k in (1 - fold, 2):
+                            out[k][0] += round(own[k].excess(words) / UNIT)
+                            out[k][1] += 1
+                sums, numbers = zip(*out.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(sums, pa.int64()), pa.array(numbers, pa.int64())], names=["scorer", "total", "n"])
+
+    found = rows.where("label = 0").mapInArrow(tidied(run), "scorer int, total long, n long").groupBy("scorer").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return {r.scorer: (r.total * UNIT, r.n) for r in found.collect()}
+
+
+def _evidence(rows: DataFrame, scorers: list[Scorer], level: float) -> np.ndarray:
+    """(strongest, several, label) of each document, by the scorer that did not see its fold, in the order of the ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(scorers)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                x = [own[fold].evidence(tokens(text), level)[:2] for fold, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                best, several = zip(*x, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(best, pa.float64()), pa.array(several, pa.float64())], names=["doc_id", "label", "best", "several"])
+
+    found = rows.mapInArrow(tidied(run), "doc_id long, label int, best double, several double").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return np.column_stack([found.column(c).to_numpy() for c in ("best", "several", "label")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, level: float = 0.01) -> ToxicityModel:
+    """Learn from at most ``most`` labelled documents outside the held-out fifth.
+
+    Texts stay on the executors: the driver gets the scores of at most 50,000 tokens, the law's sums, and three numbers
+    of each labelled document. Of rows that repeat an id one text is learned from, the one of the largest hash.
+    """
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", most)
+    one = sample.groupBy("doc_id", "label").agg(F.max(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    scratch, fold = Scratch(docs.sparkSession), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int")
+    rows = scratch.table(one.select("doc_id", fold.alias("fold"), "label", "text"))
+    n = {(r.fold, r.label): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    size = [sum(v for (_, label), v in n.items() if label == k) for k in (0, 1)]
+    if not all(size):  # nothing to tell apart: the share of label 1
+        scratch.drop(rows)
+        return ToxicityModel(None, None, level, size[1] / max(sum(size), 1))
+    counts = scratch.table(_token_counts(rows))
+    totals = counts.agg(*(F.sum(c).alias(c) for c in COUNTS)).first().asDict()
+    # Evidence for the calibration comes from the fold that the scores did not see.
+    scorers = [_scorer(counts, folds, n, totals) for folds in ([1], [0], [0, 1])]
+    for k, found in _excess(rows, scorers).items():
+        scorers[k].set_level(*found)
+    x = _evidence(rows, scorers, level)
+    scratch.drop(rows, counts)
+    return ToxicityModel(scorers[2], logistic(x[:, :2], x[:, 2]), level)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -235,7 +312,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
     return keep_rows(docs, ["text"], lambda rows: np.array([shared.value.score(t)[0] < threshold for t in rows.column(0).to_pylist()], bool))
 
 
-def detect(docs: DataFrame, labels: DataFrame, most: int = 6000, level: float = 0.01) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, most: int = 20_000, level: float = 0.01) -> DataFrame:
     """Fit on the labels and score every document: doc_id, held_out, score, predicted, n_passages, passages."""
     out = score(docs, fit(docs, labels, most, level))
     return out.select(

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tallyframe.llm.toxicity import Scorer, ToxicityModel, detect, segments
+from tallyframe.llm.toxicity import Scorer, detect, fit, segments
 
 
 def all_segments(scores):
@@ -52,7 +52,8 @@ def test_odd_rows(spark):
     passage = by[None].passages[0]
     assert (passage.start, passage.end) == (0, 4)
     assert detect(spark.createDataFrame([], "doc_id long, text string"), labels).collect() == []
-    assert ToxicityModel([], []).score("a") == (0.0, []) and ToxicityModel(["a"], [1]).score(None) == (1.0, [])
+    assert fit(spark.createDataFrame([], "doc_id long, text string"), labels).score("a") == (0.0, [])
+    assert fit(spark.createDataFrame([(4, "a")], "doc_id long, text string"), labels).score(None) == (1.0, [])
 
 
 def test_held_out_accuracy(spark):
