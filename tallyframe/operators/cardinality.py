@@ -244,21 +244,29 @@ def hyperbitbit(df: DataFrame, column: str, order: list[str], by: tuple[str, ...
 
     The sketch depends on arrival order and can't be merged, so each group is folded by one task, row batch after row
     batch, with a state of three numbers. Rank bits above the sixth of a 64-bit hash count; negative hashes add nothing.
+    Only hashes of a rank above the first ``lg`` can change a state, wherever they stand, one in 64; the others stay where
+    they are, and a row of hash -1 keeps the group of those that have no other.
     """
     from ..functions.hashing import bytes_hash
 
-    rows = df.where(F.col(column).isNotNull()).select(*by, *order, bytes_hash(F.col(column).cast("string")).alias("h"))
+    kinds, start = dict(df.dtypes), 5
+    items = df.where(F.col(column).isNotNull())
+    ranked = items.select(*by, *order, bytes_hash(F.col(column).cast("string")).alias("h")).where(f"h >= 0 and h < {1 << (63 - start)}L")
+    none = F.lit(-1).cast("bigint").alias("h")
+    groups = items.select(*by).distinct().select(*by, none) if by else items.select(none).limit(1)
+    rows = ranked.unionByName(groups.select(*by, *(F.lit(None).cast(kinds[o]).alias(o) for o in order), "h"))
     names = list(by)
 
     def fold(batches):
         state, key = None, None
         for batch in batches:
+            types = [c.type for c in batch.columns]
             groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True)) if names else [()] * batch.num_rows
             for g, h in zip(groups, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if state is None or g != key:
                     if state is not None:
-                        yield _bits(key, state)
-                    state, key = [5, 0, 0], g
+                        yield _bits(key, state, types)
+                    state, key = [start, 0, 0], g
                 if h < 0:
                     continue
                 r, bit = 58 - (h >> 6).bit_length(), 1 << (h & 63)
@@ -269,12 +277,11 @@ def hyperbitbit(df: DataFrame, column: str, order: list[str], by: tuple[str, ...
                 if state[1].bit_count() > 31:
                     state[:] = [state[0] + 1, state[2], 0]
         if state is not None:
-            yield _bits(key, state)
+            yield _bits(key, state, types)
 
-    def _bits(key, state):
+    def _bits(key, state, types):
         value = int(2 ** (state[0] + 5.4 + state[1].bit_count() / 32))
-        return pa.RecordBatch.from_pydict({**{n: [v] for n, v in zip(names, key, strict=True)}, "lg": pa.array([state[0]], pa.int32()), "estimate": pa.array([value], pa.int64())})
+        return pa.RecordBatch.from_pydict({**{n: pa.array([v], t) for n, v, t in zip(names, key, types, strict=False)}, "lg": pa.array([state[0]], pa.int32()), "estimate": pa.array([value], pa.int64())})
 
-    kinds = dict(df.dtypes)
     dealt = rows.repartition(*by).sortWithinPartitions(*by, *order) if by else rows.repartition(1).sortWithinPartitions(*order)
     return dealt.mapInArrow(fold, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "lg int", "estimate long"]))

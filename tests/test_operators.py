@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions.hashing import murmur64
 from tallyframe.functions.sizing import Bloom, CountMin
 from tallyframe.operators import SketchMergeError
 from tallyframe.operators import cardinality as C
@@ -106,6 +107,44 @@ def test_hyperbitbit_is_rough_and_grouped(spark):
     assert {r.g for r in C.hyperbitbit(df, "id", ["id"], ("g",)).collect()} == {0, 1}
 
 
+def rows_shuffled(df):
+    """Rows that the exchanges of a query that ran have written."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Exchange"):
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_hyperbitbit_folds_only_rows_that_can_change_it(spark):
+    def plain(values):
+        lg, one, two = 5, 0, 0
+        for h in (murmur64(str(v).encode()) for v in values):
+            if h >= 0:
+                r, bit = 58 - (h >> 6).bit_length(), 1 << (h & 63)
+                one, two = one | bit * (r > lg), two | bit * (r > lg + 1)
+                if one.bit_count() > 31:
+                    lg, one, two = lg + 1, two, 0
+        return lg, int(2 ** (lg + 5.4 + one.bit_count() / 32))
+
+    df = spark.range(40_000).select("id", (F.col("id") * 7919 % 40_000).alias("at"), F.when(F.col("id") % 2 == 0, "even").alias("g"))
+    out = C.hyperbitbit(df, "id", ["at"])
+    order = sorted(range(40_000), key=lambda v: v * 7919 % 40_000)
+    assert [tuple(r) for r in out.collect()] == [plain(order)]
+    assert 0 < rows_shuffled(out) < 2000
+    by = {r.g: (r.lg, r.estimate) for r in C.hyperbitbit(df, "id", ["at"], ("g",)).collect()}
+    assert by == {"even": plain(v for v in order if v % 2 == 0), None: plain(v for v in order if v % 2)}
+    few = spark.createDataFrame([(3, "a"), (4, "b"), (None, "c")], "id long, g string")  # hashes that change nothing
+    assert {tuple(r) for r in C.hyperbitbit(few, "id", ["id"], ("g",)).collect()} == {("a", *plain([3])), ("b", *plain([4]))}
+    assert C.hyperbitbit(few, "id", ["id"]).count() == 1 and C.hyperbitbit(few.limit(0), "id", ["id"]).count() == 0
+
+
 def test_space_saving_trace_and_bounds(spark):
     c = T.Counters(3)
     first = [c.offer(i) for i in ITEMS]
