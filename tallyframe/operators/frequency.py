@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_rows, java_random_ints, linear_bucket
 from ..functions.sizing import CountMin
-from .relation import Sketch
+from .relation import Sketch, in_order
 
 
 def bucket_array(column: str, params: CountMin, kind: str = "long") -> Column:
@@ -58,7 +58,7 @@ def conservative(df: DataFrame, item: str, params: CountMin, weight: str | None
     """
     w = F.lit(1) if weight is None else F.col(weight)
     items = df.where(F.col(item).isNotNull()).groupBy(F.col(item).cast("bigint").alias("item")).agg(F.sum(w.cast("bigint")).alias("w"))
-    dealt = items.select("item", "w", bucket_array("item", params).alias("at")).repartition(1).sortWithinPartitions(F.desc("w"), "item")
+    dealt = in_order(items, F.desc("w"), "item").select("item", "w", bucket_array("item", params).alias("at"))
     depth, width = params.depth, params.width
 
     def fold(batches):

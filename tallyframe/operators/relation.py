@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from . import SketchMergeError
 
@@ -109,3 +113,47 @@ def held(rows: DataFrame, by: tuple[str, ...], key: str, sums: dict[str, str], f
             yield from (smaller(added(parts)) if full else added(parts)).to_batches()
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def in_order(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows in one partition, sorted by ``order``, for a fold that must be one task.
+
+    That task sorts nothing: ranges of the order are sorted by tasks of their own, and it sets down their batches in a local
+    file as they come in, then reads them range by range. It holds one batch at a time.
+    """
+    names, schema = rows.columns, StructType([*rows.schema.fields]).add("__range", IntegerType()).add("__at", LongType())
+
+    def numbered(batches):
+        from pyspark import TaskContext
+
+        own, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            more = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(more, own, np.int32)), pa.array(np.arange(n, n + more))], names=[*names, "__range", "__at"])
+            n += more
+
+    def joined(batches):
+        spots, kind = [], None
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                kind, ranges, at = batch.schema, batch.column("__range").to_numpy(), batch.column("__at").to_numpy()
+                cuts = np.flatnonzero((np.diff(ranges) != 0) | (np.diff(at) < 0)) + 1
+                for a, b in pairwise([0, *cuts.tolist(), batch.num_rows] if batch.num_rows else []):
+                    piece = batch.slice(a, b - a).serialize()
+                    spots.append((int(ranges[a]), int(at[a]), int(at[b - 1]), file.tell(), piece.size))
+                    file.write(piece)
+
+            def read(offset: int, size: int) -> pa.RecordBatch:
+                file.seek(offset)
+                return pa.ipc.read_record_batch(pa.py_buffer(file.read(size)), kind)
+
+            for _, pieces in groupby(sorted(spots), itemgetter(0)):
+                pieces = list(pieces)
+                found = (read(*p[3:]) for p in pieces)
+                if any(a[2] > b[1] for a, b in pairwise(pieces)):  # interwoven pieces of one range
+                    found = pa.Table.from_batches(found).sort_by("__at").to_batches(max_chunksize=10_000)
+                for batch in found:
+                    yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(numbered, schema).repartition(1).mapInArrow(joined, rows.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import STRATEGIES
-from .relation import Sketch
+from .relation import Sketch, in_order
 
 
 def counted(df: DataFrame, item: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +137,7 @@ def offered(df: DataFrame, item: str, order: list[str], capacity: int, weight: s
     """
     kinds = dict(df.dtypes)
     w = F.lit(1) if weight is None else F.col(weight)
-    rows = df.where(F.col(item).isNotNull()).select(*order, F.col(item).alias("item"), w.cast("bigint").alias("w")).repartition(1).sortWithinPartitions(*order)
+    rows = in_order(df.where(F.col(item).isNotNull()).select(*order, F.col(item).alias("item"), w.cast("bigint").alias("w")), *order)
 
     def run(batches):
         own = Counters(capacity)

@@ -14,7 +14,7 @@ from ..operators import frequency as N
 from ..operators import membership as M
 from ..operators import quantile as Q
 from ..operators import topk as T
-from ..operators.relation import same_state
+from ..operators.relation import in_order, same_state
 from .registry import estimate_sql, query, read, registers_sql
 
 # --- hashes of bytes and texts, in DuckDB over lists of byte values (of ASCII texts, so that every byte is below 128)
@@ -294,7 +294,7 @@ _LAST = f"select count(*) as n, max(event_id) as last, max(event_id) filter (whe
 @query(f"select item, n as count, (select count(*) from events where event_id < began) as error from ({_LAST}) join (select event_id, event_type as item from events) on event_id = last")
 def space_saving_one_counter(spark, d):
     """One counter over the rows in order: the last item, with all that went before its run as error."""
-    rows = read(spark, d, "events").repartition(1).sortWithinPartitions("event_id")
+    rows = in_order(read(spark, d, "events").select("event_id", "event_type"), "event_id")
     return T.space_saving_top(T.space_saving(rows, "event_type", 1, one_by_one=True), 1)
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from tallyframe.operators import frequency as N
 from tallyframe.operators import membership as M
 from tallyframe.operators import quantile as Q
 from tallyframe.operators import topk as T
-from tallyframe.operators.relation import held, read, same_state
+from tallyframe.operators.relation import held, in_order, read, same_state
 
 ITEMS = "X X Y Z A B C X X A C A A".split()
 
@@ -107,6 +108,18 @@ def test_hyperbitbit_is_rough_and_grouped(spark):
     assert {r.g for r in C.hyperbitbit(df, "id", ["id"], ("g",)).collect()} == {0, 1}
 
 
+def test_order_without_a_sort_of_all_rows_in_one_task(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("é"), "id")).alias("t"), (F.col("id") % 4).alias("g")).repartition(7)
+    for order, key in ((["k"], lambda r: r.k), ([F.desc("g"), "k"], lambda r: (-r.g, r.k)), (["t", "k"], lambda r: (r.t is not None, r.t or "", r.k))):
+        out = in_order(df, *order)
+        got = out.withColumn("part", F.spark_partition_id()).collect()
+        assert {r.part for r in got} == {0} and [tuple(r)[:3] for r in got] == [tuple(r) for r in sorted(df.collect(), key=key)]
+        assert out.schema.names == df.schema.names
+    assert in_order(df.limit(0), "k").count() == 0
+    for fold in (T.offered(df, "k", ["k"], 1), N.conservative(df, "k", CountMin.of(2, 10, 1)).rows):
+        assert not re.search(r"Sort [^\n]*\n\W*Exchange SinglePartition", fold._jdf.queryExecution().executedPlan().toString())
+
+
 def rows_shuffled(df):
     """Rows that the exchanges of a query that ran have written."""
     todo, n = [df._jdf.queryExecution().executedPlan()], 0
