@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -153,20 +154,23 @@ def offered(df: DataFrame, item: str, order: list[str], capacity: int, weight: s
 
 
 def reservoir(df: DataFrame, key: str, size: int, seed: int = 0, by: tuple[str, ...] = (), strategy: str = "xxhash_60") -> DataFrame:
-    """A uniform sample of ``size`` rows (of each group): those with the smallest hash of a unique key and the seed.
+    """A uniform sample of ``size`` rows (of each group): those with the smallest hash of a key and the seed.
 
-    The same rows give the same sample in any order, and samples merge by taking the smallest again.
+    The same rows give the same sample in any order, and samples merge by taking the smallest again. For that, rows of one
+    key, which have one place, follow each other by their other columns (maps and variants, which have no order, aside).
     """
     place = F.expr(STRATEGIES[strategy][1](f"concat('{seed}-', `{key}`)", "spark"))
+    others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in (key, *by) and not re.search(r"\bmap<|\bvariant\b|\binterval$", f.dataType.simpleString())]
     if not by:
-        return df.orderBy(place, key).limit(size)
-    order = Window.partitionBy(*by).orderBy(place, key)
+        return df.orderBy(place, key, *others).limit(size)
+    order = Window.partitionBy(*by).orderBy(place, key, *others)
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
 
 
 def stochastic_top(df: DataFrame, item: str, key: str, size: int, k: int, seed: int = 0, strategy: str = "xxhash_60") -> DataFrame:
     """item, count: the k commonest items of a reservoir sample."""
-    return top(counted(reservoir(df.where(F.col(item).isNotNull()), key, size, seed, (), strategy), item), k)
+    rows = df.where(F.col(item).isNotNull()).select(*dict.fromkeys((item, key)))
+    return top(counted(reservoir(rows, key, size, seed, (), strategy), item), k)
 
 
 def sample_set(df: DataFrame, item: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -120,6 +120,15 @@ def test_order_without_a_sort_of_all_rows_in_one_task(spark):
         assert not re.search(r"Sort [^\n]*\n\W*Exchange SinglePartition", fold._jdf.queryExecution().executedPlan().toString())
 
 
+def test_sample_of_tied_keys_does_not_depend_on_how_rows_are_dealt(spark):
+    df = spark.range(900).select(F.concat(F.lit("k"), F.col("id") % 3).alias("key"), "id", (F.col("id") % 2).alias("g"), F.create_map(F.lit("a"), "id").alias("m"))
+    dealt = (df.repartition(5, "id"), df.orderBy(F.desc("id")).coalesce(1), df.orderBy("id").coalesce(1))
+    assert len({tuple(sorted(r.id for r in T.reservoir(x, "key", 50, 1).collect())) for x in dealt}) == 1
+    assert len({tuple(sorted(r.id for r in T.reservoir(x, "key", 50, 1, ("g",)).collect())) for x in dealt}) == 1
+    items = {tuple(map(tuple, T.stochastic_top(x, "id", "key", 50, 50, 1).collect())) for x in dealt}
+    assert len(items) == 1 and all(len(x) == 50 for x in items)
+
+
 def rows_shuffled(df):
     """Rows that the exchanges of a query that ran have written."""
     todo, n = [df._jdf.queryExecution().executedPlan()], 0
